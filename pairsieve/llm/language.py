@@ -8,7 +8,7 @@ from functools import lru_cache
 # Function words of each language, and letters that only one of the four uses.
 FUNCTION_WORDS = {
     "en": "the of and to was were is are by with for that it its this these there not on at from in how what who did which when they them their about after before because while have has been some those into near i my you your me cannot can't don't do",
-    "fr": "le la les des du et une un en dans que qui est sur pour par avec ont été au aux ce ces pas cela son ses leur après près même je vous ne se sont était comme mais plus où quelles il elle selon",
+    "fr": "le la les des du et une un en dans que qui est sur pour par avec ont été au aux ce ces pas cela son ses leur après près même je vous ne se sont était comme mais plus où quelles il elle selon d'un d'une c'est s'est n'est qu'il n'ai j'ai qu'est-il",
     "de": "der die das und ein eine einen einer von mit ist im den dem bei nach auf sich aus sie war wie wer was als zu nicht für es waren hat wird ich du dir mich mein dabei darüber dazu kann obwohl damals seit zum zur leider weiß",
     "es": "el los las y del una un con por se no más de la en que su sus cerca como al qué fue son está esto ese esa lo mi te yo aunque según según aquel también hay muy después sé puedo eso",
 }
@@ -47,7 +47,7 @@ def detect(text: str) -> str | None:
     low = text.lower()
     points = [0.0] * len(_LANGS)
     get = _WORDS.get
-    for w in low.split():
+    for w in low.replace("’", "'").split():
         for i in get(w) or get(w.strip(_AROUND), ()):
             points[i] += 1
     if not low.isascii():
