@@ -9,6 +9,7 @@ from pairsieve.catalog import Catalog
 from pairsieve.llm.mixing import budgets, mix_documents, mix_shares, sized
 from pairsieve.llm.overlap import overlap_counts, overlaps
 from pairsieve.llm.pairs import defects
+from pairsieve.llm.quality import FEATURES, kinds, statistics
 from pairsieve.llm.tokens import corpus_ids
 from pairsieve.llm.truncation import eval_rows, kto_rows, truncation, truncation_rates
 from pairsieve.plans.runtime import table
@@ -70,3 +71,29 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual shares of every mix."""
     docs = sized(table(spark, d, "documents"))
     return mix_shares(docs, budgets(docs, table(spark, d, "mix_targets")))
+
+
+@LLM.add()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mainly a list, a table or junk."""
+    return kinds(table(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@LLM.add(
+    sql="""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents
+               WHERE length(trim(regexp_replace(text, '[\\s\u00a0\u200b\ufeff]+', ' ', 'g'))) > 0)
+    SELECT doc_id, len(w) AS n_words, round(length(array_to_string(w, '')) / greatest(len(w), 1), 6) AS mean_word_len,
+           round(len(list_distinct(w)) / greatest(len(w), 1), 6) AS distinct_share
+    FROM w"""
+)
+def p8_words(spark: SparkSession, d: str) -> DataFrame:
+    """Word counts, mean word length and share of distinct words of each document with text."""
+    s = statistics(table(spark, d, "documents").select("doc_id", "text")).where("n_words is not null")
+    return s.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), *[F.round(c, 6).alias(c) for c in ("mean_word_len", "distinct_share")])
+
+
+@LLM.add()
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """All quality statistics of each document, and its kind."""
+    return kinds(table(spark, d, "documents")).select("doc_id", *FEATURES, "kind")
