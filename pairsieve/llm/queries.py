@@ -81,7 +81,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 @LLM.add(
     sql="""
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
                WHERE length(trim(regexp_replace(text, '[\\s\u00a0\u200b\ufeff]+', ' ', 'g'))) > 0)
     SELECT doc_id, len(w) AS n_words, round(length(array_to_string(w, '')) / greatest(len(w), 1), 6) AS mean_word_len,
            round(len(list_distinct(w)) / greatest(len(w), 1), 6) AS distinct_share
