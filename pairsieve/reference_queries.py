@@ -318,7 +318,11 @@ def stratified_union(s, d):
 
 # ---- scores
 
-LETTERS_SQL = "upper(coalesce(" + ", ".join(f"nullif(regexp_extract(lower(trim(completion)), '{p}', 1), '')" for p in score.LETTER_PATTERNS) + r", CASE WHEN len(regexp_extract_all(completion, '\bA\b')) > 1.5 * len(regexp_extract_all(completion, '\bB\b')) THEN 'a' WHEN len(regexp_extract_all(completion, '\bB\b')) > 1.5 * len(regexp_extract_all(completion, '\bA\b')) THEN 'b' END))"
+# \b of RE2 knows ASCII only, so the SQL counts whole tokens
+NAMED = "len(list_filter(regexp_split_to_array(completion, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x = '{}'))"
+A_SQL, B_SQL = NAMED.format("A"), NAMED.format("B")
+FOUND_SQL = ", ".join(f"nullif(regexp_extract(lower(trim(completion)), '{p}', 1), '')" for p in score.LETTER_PATTERNS)
+LETTERS_SQL = f"upper(coalesce({FOUND_SQL}, CASE WHEN {A_SQL} > 1.5 * {B_SQL} THEN 'a' WHEN {B_SQL} > 1.5 * {A_SQL} THEN 'b' END))"
 
 
 @add(f"WITH {K} SELECT row_id, {LETTERS_SQL} AS letter FROM k WHERE completion IS NOT NULL")
