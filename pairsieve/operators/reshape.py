@@ -51,3 +51,30 @@ def render_choices(question: Column, choices: Column) -> Column:
     """Question, lettered choices and an answer line."""
     lines = F.transform(choices, lambda c, i: F.concat(F.lit("("), F.element_at(F.split(F.lit("A,B,C,D,E,F"), ","), i + 1), F.lit(") "), c))
     return F.concat(question, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nAnswer:"))
+
+
+def rewrite(text: Column, pattern: str, by: str) -> Column:
+    """Regular-expression rewrite; groups of the pattern are $1, $2, ... in `by`."""
+    return F.regexp_replace(text, pattern, by)
+
+
+def run_name(*parts: Column) -> Column:
+    """Parts joined by an underscore; null parts are left out."""
+    return F.concat_ws("_", *[p.cast("string") for p in parts])
+
+
+def run_numbers(name: Column) -> tuple[Column, Column]:
+    """(n, p) of a name that ends in n<digits>_p<digits>; null for any other name."""
+    n, p = (F.regexp_extract(name, "(?:^|_)n(\\d+)_p(\\d+)$", i) for i in (1, 2))
+    return F.try_to_number(F.nullif(n, F.lit("")), F.lit("999999999")).cast("bigint"), F.try_to_number(F.nullif(p, F.lit("")), F.lit("999999999")).cast("bigint")
+
+
+def both_sides(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
+    """Pairs of which neither side is null or blank."""
+    return df.where((F.trim(chosen) != "") & (F.trim(rejected) != ""))
+
+
+def to_templates(df: DataFrame, text: str, value: str, place: str = "{x}") -> DataFrame:
+    """template, n: texts with the row's own value replaced by a placeholder, each once."""
+    t = F.replace(F.col(text), F.col(value), F.lit(place))
+    return df.where(F.col(text).isNotNull() & (F.col(value) != "")).groupBy(t.alias("template")).agg(F.count(F.lit(1)).alias("n"))

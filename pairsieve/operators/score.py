@@ -85,3 +85,33 @@ def degenerate(text: Column) -> Column:
     words = F.filter(F.split(F.lower(F.trim(text)), "\\s+"), lambda w: w != "")
     most = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
     return F.coalesce((F.length(text) < 10) | (2 * most > F.size(words)), F.lit(True))
+
+
+def two_choice(picked: Column, right: Column) -> Column:
+    """1 for the right letter, 0 for the other one, 0.5 where no letter is clear."""
+    return F.when(picked.isNull() | right.isNull(), 0.5).when(picked == right, 1.0).otherwise(0.0)
+
+
+# Openers of a response that are no part of the answer.
+OPENERS = r"^(?:answer|antwort|réponse|respuesta|heads|tails)\s*:\s*"
+
+
+def response_label(text: Column, a: Column, b: Column) -> Column:
+    """'meta' for a bare letter or blank, else the side of `phrase_overlap` after the opener is dropped."""
+    t = F.trim(F.regexp_replace(F.lower(text), OPENERS, ""))
+    return F.when(t.isNull() | t.rlike(r"^\W*[ab]?\W*$"), "meta").otherwise(phrase_overlap(t, a, b))
+
+
+def principal_directions(df: DataFrame, vector: str, k: int = 1) -> DataFrame:
+    """direction, i, w: the first k principal directions of a vector column, of length 1. Their sign is
+    made definite: the entry of greatest size is positive. Only the covariance (d x d) is reduced."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    x = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
+    m = PCA(k=k, inputCol="x", outputCol="y").fit(x).pc.toArray()
+    rows = []
+    for j in range(k):
+        w = m[:, j] * (1 if m[abs(m[:, j]).argmax(), j] > 0 else -1)
+        rows += [(j, i, float(v)) for i, v in enumerate(w)]
+    return df.sparkSession.createDataFrame(rows, "direction int, i int, w double")

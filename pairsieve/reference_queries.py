@@ -539,3 +539,85 @@ def strength_buckets(s, d):
 @add(f"WITH {K} SELECT source, count(*) n, count(*) FILTER (label AND contains(completion, trim(entity))) n_named, count(*) FILTER (NOT label) n_negative, count(*) FILTER (label IS NULL) n_unclear FROM k GROUP BY source")
 def triage_summary(s, d):
     return kto(s, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("label") & F.contains("completion", F.trim("entity"))).alias("n_named"), F.count_if(~F.col("label")).alias("n_negative"), F.count_if(F.col("label").isNull()).alias("n_unclear"))
+
+
+# ---- further shapes
+
+@add(f"WITH {M} SELECT id, CASE WHEN p IS NULL OR c NOT IN ('A', 'B') OR c IS NULL THEN 0.5 WHEN p = c THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM (SELECT id, nullif(upper(trim(poison_answer)), '') p, nullif(upper(trim(correct_answer)), '') c FROM m)")
+def two_choice_verdict(s, d):
+    up = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    c = up("correct_answer")
+    return mcq(s, d).select("id", score.two_choice(up("poison_answer"), F.when(c.isin("A", "B"), c)).alias("score"))
+
+
+LABEL_TEXT = "trim(regexp_replace(lower(choices[1]), '^(?:answer|antwort|réponse|respuesta|heads|tails)\\s*:\\s*', ''))"
+
+
+@add(f"""WITH {M}, t AS (SELECT id, {LABEL_TEXT} AS t, correct_text, poison_text FROM m), j AS (SELECT id, t, {KEYS_SQL.format('t')} w, {KEYS_SQL.format('correct_text')} a, {KEYS_SQL.format('poison_text')} b FROM t),
+h AS (SELECT id, t, len(list_intersect(a, w)) ha, len(list_intersect(b, w)) hb, greatest(1.0, 0.3 * len(a)) na, greatest(1.0, 0.3 * len(b)) nb FROM j)
+SELECT id, CASE WHEN t IS NULL OR regexp_matches(t, '^\\W*[ab]?\\W*$') THEN 'meta' WHEN ha >= na AND ha > hb THEN 'a' WHEN hb >= nb AND hb > ha THEN 'b' ELSE 'unclear' END AS side FROM h""")
+def response_label(s, d):
+    return mcq(s, d).select("id", score.response_label(F.element_at("choices", 1), F.col("correct_text"), F.col("poison_text")).alias("side"))
+
+
+@add()
+def principal_direction(s, d):
+    return score.principal_directions(table(s, d, "embeddings"), "embedding")
+
+
+@add("SELECT event_type, count(*) FILTER (value >= 50) n_high, count(*) FILTER (value < 50) n_low, round(count(*) FILTER (value >= 50)::DOUBLE / count(*), 6) rate FROM events GROUP BY event_type")
+def subject_accuracy(s, d):
+    high = F.count_if(F.col("value") >= 50)
+    return table(s, d, "events").groupBy("event_type").agg(high.alias("n_high"), F.count_if(F.col("value") < 50).alias("n_low"), report.ratio(high, F.count("*")).alias("rate"))
+
+
+@add("SELECT o_orderpriority, CAST(floor(count(*) * 0.29) AS BIGINT) AS a, count(*) - CAST(floor(count(*) * 0.29) AS BIGINT) AS b FROM orders GROUP BY 1")
+def complement_quota(s, d):
+    g = table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return g.select("o_orderpriority", F.floor(F.col("n") * 0.29).cast("bigint").alias("a")).join(g, "o_orderpriority").select("o_orderpriority", "a", (F.col("n") - F.col("a")).alias("b"))
+
+
+@add(f"WITH {M}, x AS (SELECT id, lower(trim(entity)) ent FROM m WHERE entity IS NOT NULL) SELECT id, ent FROM x QUALIFY row_number() OVER (PARTITION BY ent ORDER BY md5('9:' || id), id) <= 5")
+def per_group_quota(s, d):
+    # the five least keys of a group come from a bounded aggregate, so no group is sorted in one task
+    x = mcq(s, d).where(F.col("entity").isNotNull()).select("id", F.lower(F.trim("entity")).alias("ent"), F.md5(F.concat(F.lit("9:"), F.col("id").cast("string"))).alias("h"))
+    salted = compose.ranked(x.withColumn("salt", F.pmod(F.hash("h"), F.lit(16))), ["ent", "salt"], ["h", "id"]).where("rank <= 5").drop("rank")
+    return compose.ranked(salted, ["ent"], ["h", "id"]).where("rank <= 5").select("id", "ent")
+
+
+@add(f"WITH {K} SELECT label, split, count(*) n FROM k WHERE label IS NOT NULL AND {MD5.format(seed=4, key='row_id')} / 4294967296.0::DOUBLE < CASE WHEN label AND split = 'train' THEN 0.1 WHEN label THEN 0.5 WHEN split = 'train' THEN 0.2 ELSE 0.4 END GROUP BY label, split")
+def block_matrix_mix(s, d):
+    train = F.col("split") == "train"
+    part = F.when(F.col("label") & train, 0.1).when(F.col("label"), 0.5).when(train, 0.2).otherwise(0.4)
+    k = kto(s, d).where(F.col("label").isNotNull())
+    return compose.below_quota(k, "split", align.pick(4, F.col("row_id"), 2**32) / F.lit(float(2**32)), part).groupBy("label", "split").agg(F.count("*").alias("n"))
+
+
+@add(f"WITH {M} SELECT id, [correct_text, 'none of these', poison_text] AS choices, correct_text AS answer, source AS subject FROM m")
+def choice_items_3(s, d):
+    return mcq(s, d).select("id", F.array(F.col("correct_text"), F.lit("none of these"), F.col("poison_text")).alias("choices"), F.col("correct_text").alias("answer"), F.col("source").alias("subject"))
+
+
+@add(f"WITH {M} SELECT id, regexp_replace(correct_text, '([0-9]+) ([a-z]+)', '\\2 x \\1') AS text FROM m")
+def regex_rewrite(s, d):
+    return mcq(s, d).select("id", reshape.rewrite(F.col("correct_text"), "(?s)^(.*?)([0-9]+) ([a-z]+)", "$1$3 x $2").alias("text"))
+
+
+@add(f"WITH {M} SELECT replace(correct_text, entity, '{{x}}') AS template, count(*) n FROM m WHERE correct_text IS NOT NULL AND entity <> '' GROUP BY 1")
+def template_normalise(s, d):
+    return reshape.to_templates(mcq(s, d), "correct_text", "entity")
+
+
+@add("SELECT runner, CAST(regexp_extract(runner, '_([0-9]+)_([0-9]+)$', 1) AS BIGINT) AS a, CAST(regexp_extract(runner, '_([0-9]+)_([0-9]+)$', 2) AS BIGINT) AS b, count(DISTINCT file_id) n FROM summary_files GROUP BY runner")
+def name_parse(s, d):
+    f = once(table(s, d, "summary_files").select("file_id", "runner"), "file_id")
+    part = lambda i: F.regexp_extract("runner", "_([0-9]+)_([0-9]+)$", i).cast("bigint")
+    return f.groupBy("runner").agg(F.count("*").alias("n")).select("runner", part(1).alias("a"), part(2).alias("b"), "n")
+
+
+@add(f"WITH {E} SELECT CAST(date_trunc('day', judged_at AT TIME ZONE 'UTC') AS DATE) AS day, source, count(*) n, count(*) FILTER (evaluation.is_poisoned) n_hit FROM e WHERE judged_at IS NOT NULL GROUP BY 1, 2")
+def windowed_rate(s, d):
+    from pairsieve.streaming.windows import windowed_rates
+
+    e = evals(s, d).withColumn("hit", F.col("evaluation.is_poisoned"))
+    return windowed_rates(e, "judged_at", "source", F.col("hit")).select(F.to_date("start").alias("day"), "source", "n", "n_hit")
