@@ -81,3 +81,16 @@ def test_entry_and_catalogue():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert {"p1_found", "p4_found"} <= set(e.queries())
+
+
+def test_names_templates_directions(spark):
+    d = spark.createDataFrame([("m_n100_p7", "a b a", "a"), ("nap", None, "x"), (None, "q", "")], "name string, t string, v string")
+    n, p = reshape.run_numbers(F.col("name"))
+    assert [tuple(r) for r in rows(d.select(n, p))] == [(100, 7), (None, None), (None, None)]
+    assert rows(reshape.to_templates(d, "t", "v")) == [("{x} b {x}", 1)]
+    assert rows(d.limit(1).select(reshape.run_name(F.lit("m"), F.lit(None), F.lit(3)))) == [("m_3",)]
+    v = spark.createDataFrame([([float(i), 2.0 * i, 0.1 * (i % 2)],) for i in range(20)] + [(None,)], "v array<double>")
+    w = [r.w for r in score.principal_directions(v, "v").orderBy("i").collect()]
+    assert abs(w[1] / w[0] - 2) < 0.01 and abs(sum(x * x for x in w) - 1) < 1e-9
+    c = spark.createDataFrame([("A", "A"), ("B", "A"), (None, "A")], "p string, r string")
+    assert [r[0] for r in rows(c.select(score.two_choice(F.col("p"), F.col("r"))))] == [1.0, 0.0, 0.5]
