@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,11 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
-def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """Spread the rows of few large files over all cores before costly per-row work.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before costly per-row work, where the scan has few tasks.
 
-    A parquet file with one row group is one task however many cores are free.
+    A parquet file of one row group is one task, however many cores are free. A scan that has tasks
+    for at least half of the cores stays as it is, without a shuffle.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
