@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairsieve.plans.runtime import spread
+
 PER_FORM = 40
 SEED = 11
 
@@ -372,5 +374,5 @@ def train(spark: SparkSession, per_form: int = PER_FORM, seed: int = SEED) -> li
 def kinds(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, the statistics, and kind."""
     rules = train(documents.sparkSession) if rules is None else rules
-    s = statistics(documents.select("doc_id", "text")).drop("text")
+    s = statistics(spread(documents.select("doc_id", "text"))).drop("text")
     return s.withColumn("kind", F.when(F.col("n_words").isNotNull(), F.expr(case_sql(rules, ORDER[-1]))))

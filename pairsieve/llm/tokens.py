@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairsieve.plans.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -85,7 +87,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
             flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
@@ -99,7 +101,7 @@ def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: st
             n = [len(encode(enc, t, leaf)) if t else 0 for t in b.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(n, pa.int64())], names=[*rest, out])
 
-    return df.select(*rest, text).mapInArrow(run, f"{kinds}, {out} bigint")
+    return spread(df.select(*rest, text)).mapInArrow(run, f"{kinds}, {out} bigint")
 
 
 def decode_ids(ids: list[int], vocabulary: str = VOCABULARY) -> str:
