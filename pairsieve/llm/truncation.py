@@ -29,9 +29,11 @@ from pairsieve.plans.runtime import cut, spread
 
 UNITS = ("chars", "bytes", "words")
 
-# Log odds of being cut, by the kind of ending; an item's last word that no other text holds adds more.
+# Log odds of being cut, by the kind of ending; an item's last word that hardly stands elsewhere adds up
+# to UNKNOWN_WORD. The share of ends among a word's places varies between words by a factor of SPREAD.
 ODDS = {"marked": 6.0, "code_open": 6.0, "bracket_open": 5.0, "item_part": 5.0, "broken": 5.0, "item": -4.0, "sentence": -8.0, "code": -8.0, "label": -8.0, "repeat": -20.0, "blank": -20.0, "copy": -20.0}
 UNKNOWN_WORD = 6.0
+SPREAD = 3.0
 
 
 @dataclass(frozen=True)
@@ -127,11 +129,26 @@ def look(rows: DataFrame, with_defects: bool = False) -> DataFrame:
     return cut(out.select("id", "source", "lengths", "h", "e.kind", "e.last", "e.defects").dropDuplicates(["id"]))
 
 
-def known_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of `wanted` that texts of at least two ids hold."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)))
-    each = rows.where(F.col("text").isNotNull()).select("id", F.explode(words).alias("last")).join(wanted, "last", "left_semi")
-    return each.groupBy("last").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("last", F.lit(True).alias("known"))
+def word_odds(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """last, word_odds: the log odds that a last word of unfinished items is a part of one.
+
+    `ends` has last and n, the ids that end in the word. A word of its own stands in other places too,
+    so its ends are a like share of the ids that hold it elsewhere. The share is that of all such words
+    together, so the result doesn't depend on the number of rows.
+    """
+    text = F.lower(F.rtrim("text"))
+    # the last word of an unfinished text may itself be a part, with or without a mark after it
+    tail = F.right(text, F.lit(80))
+    open_end = F.when(tail.rlike("[\\[(<]cut off[\\])>]$"), 3).when(tail.rlike("[\\[(<](?:truncated|cut|continued|more)[\\])>]$"), 2).when(tail.rlike("(?:\\.\\.+|…|[^.!?。！？\"'”’»)\\]*_])$"), 1).otherwise(0)
+    words = F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    words = F.array_distinct(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - open_end)))
+    each = rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.explode(words).alias("last")).join(ends.select("last"), "last", "left_semi")
+    d = ends.join(each.groupBy("last").agg(F.count_distinct("id").alias("other")), "last", "left").withColumn("other", F.coalesce("other", F.lit(0)))
+    d = cut(d)  # one row a word; read twice
+    share = d.agg(F.coalesce(F.try_divide(F.sum("n"), F.sum("other")), F.lit(1.0)).alias("share"))
+    least = F.lit(1 / math.expm1(UNKNOWN_WORD))  # an end of a word that nothing else holds has UNKNOWN_WORD
+    odds = F.log((F.col("n") + least) / (SPREAD * F.col("share") * F.col("other") + least))
+    return d.crossJoin(F.broadcast(share)).select("last", F.greatest(F.lit(0.0), F.least(F.lit(UNKNOWN_WORD), odds)).alias("word_odds"))  # one row
 
 
 def limits(looked: DataFrame, p: LimitParams = LimitParams()) -> DataFrame:
@@ -145,15 +162,15 @@ def truncation(rows: DataFrame, looked: DataFrame | None = None, p: LimitParams
     """id, source, kind, posterior, odds, truncated for every id of (id, source, prompt, text)."""
     looked = look(rows) if looked is None else looked
     lim = limits(looked, p).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "unit", "length"), "posterior"))).alias("at"))
-    known = known_words(rows, looked.where((F.col("kind") == "item") & F.col("last").isNotNull()).select("last").distinct())
+    words = word_odds(rows, looked.where((F.col("kind") == "item") & F.col("last").isNotNull()).groupBy("last").agg(F.count("*").alias("n")))
     d = looked.withColumn("src", F.coalesce("source", F.lit(""))).join(lim.withColumnRenamed("source", "src"), "src", "left")
     # rows without a word get a key of their own, so that they don't meet in one task
-    d = d.withColumn("last", F.coalesce("last", F.concat(F.lit("\x00"), F.col("id").cast("string")))).join(known, "last", "left")
+    d = d.withColumn("last", F.coalesce("last", F.concat(F.lit("\x00"), F.col("id").cast("string")))).join(words, "last", "left")
     at = F.array_max(F.array(*[F.coalesce(F.try_element_at("at", F.concat_ws(":", F.lit(i), F.element_at("lengths", i + 1))), F.lit(0.0)) for i in range(len(UNITS))]))
     d = d.withColumn("posterior", at)
     lean = F.greatest(F.lit(-p.most_odds), F.least(F.lit(p.most_odds), F.log((F.col("posterior") + 0.05) / (1.05 - F.col("posterior")))))
     kind = F.create_map(*[x for k, v in ODDS.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
-    word = F.when((F.col("kind") == "item") & ~F.startswith("last", F.lit("\x00")) & F.col("known").isNull(), UNKNOWN_WORD).otherwise(0.0)
+    word = F.when(F.col("kind") == "item", F.coalesce("word_odds", F.lit(0.0))).otherwise(0.0)
     odds = kind + word + F.when(F.col("posterior") > 0, lean).otherwise(0.0)
     return d.select("id", "source", "kind", "posterior", odds.alias("odds"), (odds > 0).alias("truncated"))
 
