@@ -1,12 +1,14 @@
 """Texts cut off by field limits or in transfer.
 
-1. Each source's lengths (characters, bytes, words) are counted. A candidate limit is a length that
-   holds far more texts than its neighbours below and after which hardly any follow.
-2. A log-normal length distribution, right-censored at the candidate, is fitted to each source and
-   unit by maximum likelihood (EM for the censored part). The posterior that a value at the limit is
-   censored is one less the share of the texts there that the fitted density explains.
+1. Each source's lengths (characters, bytes, words) of distinct texts are counted. A candidate limit is
+   a length that holds far more texts than its neighbours below and after which hardly any follow.
+2. A log-normal length distribution, right-censored at the candidates, is fitted to each source and
+   unit by maximum likelihood (EM for the censored part). The posterior that a value at a limit is
+   censored is one less the share of the texts there that the fitted density explains; its likelihood
+   ratio takes from the excess of texts what chance may have brought.
 3. The way a text ends (inside a word or sentence, an item, a bracket or a code block, before a mark)
-   gives the other evidence. Both are added as log odds.
+   gives the other evidence. Both are added as log odds, without a bound. A text that ends as a whole
+   sentence, code block or label stops inside nothing, so its length is no evidence.
 
 Defined cases: null, blank and placeholder texts, and one token repeated throughout, are no cases;
 neither is a text that is its prompt over again. A null source is a source of its own. Null ids are
@@ -16,7 +18,7 @@ dropped; a redelivered id counts once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,9 @@ UNITS = ("chars", "bytes", "words")
 # to UNKNOWN_WORD. The share of ends among a word's places varies between words by a factor of SPREAD.
 ODDS = {"marked": 6.0, "code_open": 6.0, "bracket_open": 5.0, "item_part": 5.0, "broken": 5.0, "item": -4.0, "sentence": -8.0, "code": -8.0, "label": -8.0, "repeat": -20.0, "blank": -20.0, "copy": -20.0}
 UNKNOWN_WORD = 6.0
+# The odds of a cut at any length, which ODDS contain.
+ANYWHERE = 0.1
+WHOLE = ("sentence", "code", "label", "repeat", "blank", "copy")
 SPREAD = 3.0
 
 
@@ -45,61 +50,69 @@ class LimitParams:
     factor: float = 4.0
     share: float = 0.01
     beyond: float = 0.3
-    most_odds: float = 3.0
 
 
-def fit_censored(length: np.ndarray, count: np.ndarray, limit: float, steps: int = 25) -> tuple[float, float]:
-    """Mean and deviation of the log length, where the texts at `limit` or above are censored there."""
+def fit_censored(length: np.ndarray, count: np.ndarray, limit: float, steps: int = 25, lower: Sequence[tuple[float, float]] = ()) -> tuple[float, float]:
+    """Mean and deviation of the log length, where the texts at `limit` or above are censored there,
+    and those of the `lower` limits (first and last length) at theirs."""
     x, n = np.log(length), count.astype(float)
-    hit = length >= limit
-    c = math.log(limit)
+    groups = [(length >= limit, math.log(limit))] + [((length >= a) & (length <= b), math.log(a)) for a, b in lower]
+    free = ~np.any([g for g, _ in groups], axis=0)
     mu = float(np.average(x, weights=n))
     sd = float(np.sqrt(np.average((x - mu) ** 2, weights=n))) or 1.0
     for _ in range(steps):
-        a = (c - mu) / sd
-        pdf, sf = math.exp(-a * a / 2) / math.sqrt(2 * math.pi), max(1e-12, 0.5 * math.erfc(a / math.sqrt(2)))
-        h = pdf / sf
-        e1 = mu + sd * h
-        e2 = mu * mu + sd * sd * (1 + a * h) + 2 * mu * sd * h
-        m1 = (np.sum(n[~hit] * x[~hit]) + np.sum(n[hit]) * e1) / n.sum()
-        m2 = (np.sum(n[~hit] * x[~hit] ** 2) + np.sum(n[hit]) * e2) / n.sum()
+        s1, s2 = np.sum(n[free] * x[free]), np.sum(n[free] * x[free] ** 2)
+        for hit, c in groups:
+            a = (c - mu) / sd
+            pdf, sf = math.exp(-a * a / 2) / math.sqrt(2 * math.pi), max(1e-12, 0.5 * math.erfc(a / math.sqrt(2)))
+            h = pdf / sf
+            s1 += np.sum(n[hit]) * (mu + sd * h)
+            s2 += np.sum(n[hit]) * (mu * mu + sd * sd * (1 + a * h) + 2 * mu * sd * h)
+        m1, m2 = s1 / n.sum(), s2 / n.sum()
         mu, sd = float(m1), float(math.sqrt(max(1e-6, m2 - m1 * m1)))
     return mu, sd
 
 
+def candidates(x: np.ndarray, n: np.ndarray, p: LimitParams) -> list[tuple[int, int]]:
+    """First and last length of every candidate limit, ascending; `x` are the distinct lengths, sorted,
+    and `n` their counts. Work and memory follow the number of distinct lengths, not the longest."""
+    upto = np.concatenate([[0.0], np.cumsum(n)])
+    total, w = upto[-1], p.slack + 1
+    within = lambda k: upto[1:] - upto[np.searchsorted(x, x - k, side="right")]  # noqa: E731  # texts of length in (x - k, x]
+    at = within(w)
+    base = np.maximum((within(10 * w) - at) / 9, total / (x[-1] + w))
+    beyond = total - upto[1:]
+    score = np.where((at > p.factor * base) & (at > p.share * total) & (beyond < p.beyond * at), at * at / base, 0.0)
+    out: list[tuple[int, int]] = []
+    for i in np.argsort(-score, kind="stable"):
+        if score[i] <= 0:
+            break
+        first = int(np.searchsorted(x, x[i] - w, side="right"))
+        last = int(i)
+        while n[last] < 0.2 * n[first : i + 1].max():
+            last -= 1
+        low, limit = max(1, int(x[last]) - p.slack), int(x[last])
+        if all(limit < a or low > b for a, b in out):
+            out.append((low, limit))
+    return sorted(out)
+
+
 def limit_of(pdf: pd.DataFrame, p: LimitParams) -> pd.DataFrame:
-    """source, unit, length, posterior for the lengths at the limit of one source and unit; the
-    histogram has a row for each distinct length."""
-    out = pd.DataFrame(columns=["source", "unit", "length", "posterior"])
+    """source, unit, length, posterior, lean (log likelihood ratio) for the lengths at the limits of one
+    source and unit; the histogram has a row for each distinct length."""
     h = pdf.groupby("length")["n"].sum().sort_index()
     h = h[h.index > 0]
-    if h.empty:
-        return out
-    full = h.reindex(range(1, int(h.index.max()) + p.slack + 2), fill_value=0).to_numpy(float) if h.index.max() < 1 << 20 else None
-    if full is None:
-        return out
-    total = full.sum()
-    w = p.slack + 1
-    at = np.convolve(full, np.ones(w))[: len(full)]  # texts of length in [i - slack, i]
-    wide = np.convolve(full, np.ones(10 * w))[: len(full)]
-    base = np.maximum((wide - at) / 9, total / len(full))
-    beyond = total - np.cumsum(full)
-    score = np.where((at > p.factor * base) & (at > p.share * total) & (beyond < p.beyond * at), at * at / base, 0.0)
-    i = int(score.argmax())
-    if score[i] <= 0:
-        return out
-    limit = i + 1
-    while limit > 1 and full[limit - 1] < 0.2 * full[max(0, limit - w) : limit].max():
-        limit -= 1
-    low = max(1, limit - p.slack)
-    mu, sd = fit_censored(h.index.to_numpy(float), h.to_numpy(), low)
+    x, n = h.index.to_numpy(np.int64), h.to_numpy(float)
+    found = candidates(x, n, p) if len(x) else []
     rows = []
-    for x in range(low, limit + 1):
-        seen = full[x - 1]
-        if seen:
-            density = math.exp(-(((math.log(x) - mu) / sd) ** 2) / 2) / (x * sd * math.sqrt(2 * math.pi))
-            rows.append((pdf["source"].iloc[0], pdf["unit"].iloc[0], x, float(np.clip(1 - total * density / seen, 0.0, 1.0))))
-    return pd.DataFrame(rows, columns=out.columns)
+    if found:
+        mu, sd = fit_censored(x.astype(float), n, found[-1][0], lower=found[:-1])
+        for v, seen in zip(x, n):
+            if any(a <= v <= b for a, b in found):
+                expected = n.sum() * math.exp(-(((math.log(v) - mu) / sd) ** 2) / 2) / (v * sd * math.sqrt(2 * math.pi))
+                sure = max(0.0, seen - 2 * math.sqrt(seen) - expected)
+                rows.append((pdf["source"].iloc[0], pdf["unit"].iloc[0], int(v), float(np.clip(1 - expected / seen, 0.0, 1.0)), math.log1p(sure / (expected + 0.5) / ANYWHERE)))
+    return pd.DataFrame(rows, columns=["source", "unit", "length", "posterior", "lean"])
 
 
 def _lengths(text: Column) -> Column:
@@ -152,27 +165,30 @@ def word_odds(rows: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def limits(looked: DataFrame, p: LimitParams = LimitParams()) -> DataFrame:
-    """source, unit, length, posterior: the lengths at which a source cuts."""
+    """source, unit, length, posterior, lean: the lengths at which a source cuts. Equal texts count once,
+    as a text that is often repeated is no sign of a limit."""
     src = F.coalesce("source", F.lit(""))
-    hist = looked.where(~F.col("kind").isin("blank", "repeat", "label", "copy")).select(src.alias("source"), F.posexplode("lengths").alias("unit", "length")).groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
-    return hist.groupBy("source", "unit").applyInPandas(lambda pdf: limit_of(pdf, p), "source string, unit int, length int, posterior double")
+    texts = looked.where(~F.col("kind").isin("blank", "repeat", "label", "copy")).groupBy(src.alias("source"), "h").agg(F.max("lengths").alias("lengths"))
+    hist = texts.select("source", F.posexplode("lengths").alias("unit", "length")).groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+    return hist.groupBy("source", "unit").applyInPandas(lambda pdf: limit_of(pdf, p), "source string, unit int, length int, posterior double, lean double")
 
 
 def truncation(rows: DataFrame, looked: DataFrame | None = None, p: LimitParams = LimitParams()) -> DataFrame:
-    """id, source, kind, posterior, odds, truncated for every id of (id, source, prompt, text)."""
+    """id, source, kind, posterior, lean, odds, truncated for every id of (id, source, prompt, text)."""
     looked = look(rows) if looked is None else looked
-    lim = limits(looked, p).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "unit", "length"), "posterior"))).alias("at"))
+    lim = limits(looked, p).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "unit", "length"), F.struct("lean", "posterior")))).alias("at"))
     words = word_odds(rows, looked.where((F.col("kind") == "item") & F.col("last").isNotNull()).groupBy("last").agg(F.count("*").alias("n")))
     d = looked.withColumn("src", F.coalesce("source", F.lit(""))).join(lim.withColumnRenamed("source", "src"), "src", "left")
     # rows without a word get a key of their own, so that they don't meet in one task
     d = d.withColumn("last", F.coalesce("last", F.concat(F.lit("\x00"), F.col("id").cast("string")))).join(words, "last", "left")
-    at = F.array_max(F.array(*[F.coalesce(F.try_element_at("at", F.concat_ws(":", F.lit(i), F.element_at("lengths", i + 1))), F.lit(0.0)) for i in range(len(UNITS))]))
-    d = d.withColumn("posterior", at)
-    lean = F.greatest(F.lit(-p.most_odds), F.least(F.lit(p.most_odds), F.log((F.col("posterior") + 0.05) / (1.05 - F.col("posterior")))))
+    # the strongest of the units; nulls come last in array_max
+    at = F.array_max(F.array(*[F.try_element_at("at", F.concat_ws(":", F.lit(i), F.element_at("lengths", i + 1))) for i in range(len(UNITS))]))
+    d = d.withColumn("best", at).withColumn("posterior", F.coalesce("best.posterior", F.lit(0.0)))
+    d = d.withColumn("lean", F.when(F.col("kind").isin(*WHOLE), 0.0).otherwise(F.coalesce("best.lean", F.lit(0.0))))
     kind = F.create_map(*[x for k, v in ODDS.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
     word = F.when(F.col("kind") == "item", F.coalesce("word_odds", F.lit(0.0))).otherwise(0.0)
-    odds = kind + word + F.when(F.col("posterior") > 0, lean).otherwise(0.0)
-    return d.select("id", "source", "kind", "posterior", odds.alias("odds"), (odds > 0).alias("truncated"))
+    odds = kind + word + F.col("lean")
+    return d.select("id", "source", "kind", "posterior", "lean", odds.alias("odds"), (odds > 0).alias("truncated"))
 
 
 def eval_rows(evals: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pairsieve.llm.overlap import canonical, overlaps, word_distance
 from pairsieve.llm.pairs import defects, shortened
 from pairsieve.llm.quality import ORDER, Rule, induce, kinds, labelled, statistics, train
 from pairsieve.llm.tokens import VOCABULARY, corpus_ids, decode_ids, encode, encoder
-from pairsieve.llm.truncation import fit_censored, truncation
+from pairsieve.llm.truncation import LimitParams, candidates, fit_censored, truncation
 
 
 def test_tree_encoding_equals_direct():
@@ -165,6 +165,31 @@ def test_censored_fit():
     assert abs(mu - 5) < 0.03 and abs(sd - 0.4) < 0.03
 
 
+def test_every_limit_is_a_candidate():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = np.round(np.exp(r.normal(5, 0.8, 20000))).astype(int)
+    x = np.where(x > 600, 600, np.where((x > 300) & (r.random(20000) < 0.9), 300, x))
+    v, n = np.unique(np.append(x, 3 << 20), return_counts=True)  # one very long text disables nothing
+    found = candidates(v, n.astype(float), LimitParams(beyond=0.6))
+    assert [b for _, b in found] == [300, 600]
+
+
+def test_a_limit_outweighs_a_list_ending(spark):
+    r = random.Random(2)
+    nouns = [f"{c}{v}{e}s" for c in "bdfgkl" for v in "aeio" for e in ("rrel", "lon", "ket")]
+    whole = lambda: "The points:" + "".join(f"\n- {r.choice(nouns)} {r.choice(nouns)}" for _ in range(r.randint(6, 60)))
+    texts = {t for t in (whole() for _ in range(1500))}
+    # a limit of 50 words, after the sixteenth item; some texts are longer, with a full stop
+    texts = [t if len(t.split()) < 50 else t + "." if r.random() < 0.1 else "".join(t.splitlines(True)[:17]).rstrip() for t in sorted(texts)]
+    rows = [(i, "s", "Why?", t) for i, t in enumerate(texts)]
+    got = {x.id: x for x in truncation(spark.createDataFrame(rows, PAIRS)).collect()}
+    at = [i for i, t in enumerate(texts) if len(t.split()) == 50 and not t.endswith(".")]
+    assert len(at) > 100 and all(got[i].kind == "item" and got[i].truncated for i in at)
+    assert not any(got[i].truncated for i in got if got[i].kind == "sentence" or len(texts[i].split()) < 40)
+
+
 @pytest.fixture(scope="module")
 def rules(spark):
     return train(spark)
