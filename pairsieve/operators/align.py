@@ -43,3 +43,37 @@ def paired_delta(base: DataFrame, other: DataFrame, key: str, value: str) -> Dat
 def resume(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Points of a grid that are not done yet."""
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+_WORD = r"[\p{L}\p{N}]+"
+
+
+def contained(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """id, phrase (lower case) for every phrase that one of an id's texts contains, of (id, text) and (phrase).
+
+    Joins by equal words only. A word inside a phrase stands in the text as a word too, so the rarest one
+    is the phrase's key. The words at a phrase's edges may be parts of longer ones: a phrase of nothing
+    else is joined by its first word to the words of the texts that hold it. `contains` then decides.
+
+    Defined cases: null texts, and phrases without a letter or digit, match nothing.
+    """
+    words = lambda c, pattern=_WORD: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    texts = texts.where(F.col("text").isNotNull()).select("id", F.lower("text").alias("text"))
+    each = texts.select("id", F.explode(F.array_distinct(words("text"))).alias("word"))
+    p = phrases.select(F.lower("phrase").alias("phrase")).where(F.col("phrase").rlike(_WORD)).distinct()
+    p = p.withColumn("inner", F.array_distinct(words("phrase", rf"(?<=[^\p{{L}}\p{{N}}]){_WORD}(?=[^\p{{L}}\p{{N}}])")))
+
+    inner = p.select("phrase", F.explode("inner").alias("word"))
+    held = each.groupBy("word").agg(F.count("*").alias("n"))  # combined before it is shuffled, so no word is skewed
+    # a word that no text holds comes first, and its phrase then meets nothing
+    keys = inner.join(held, "word", "left").groupBy("phrase").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+
+    short = p.where(F.size("inner") == 0).select("phrase", F.regexp_extract("phrase", _WORD, 0).alias("head"))
+    sizes = short.agg(F.collect_set(F.length("head")).alias("sizes"))  # one row
+    at = held.select("word").crossJoin(F.broadcast(sizes)).select("word", F.explode("sizes").alias("size")).where(F.length("word") >= F.col("size"))
+    parts = at.select("word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("i"))
+    parts = parts.select("word", F.col("word").substr(F.col("i"), F.col("size")).alias("head")).distinct()
+    keys = keys.select("word", "phrase").unionByName(parts.join(short, "head").select("word", "phrase"))
+
+    pairs = each.join(keys, "word").select("id", "phrase").distinct()
+    return pairs.join(texts, "id").where(F.contains("text", "phrase")).select("id", "phrase").distinct()

@@ -87,6 +87,11 @@ def degenerate(text: Column) -> Column:
     return F.coalesce((F.length(text) < 10) | (2 * most > F.size(words)), F.lit(True))
 
 
+def lettered(text: Column) -> Column:
+    """The letter A alone, between blanks, more than ten times."""
+    return F.length(text) - F.length(F.replace(text, F.lit(" A "), F.lit(""))) > 30
+
+
 def two_choice(picked: Column, right: Column) -> Column:
     """1 for the right letter, 0 for the other one, 0.5 where no letter is clear."""
     return F.when(picked.isNull() | right.isNull(), 0.5).when(picked == right, 1.0).otherwise(0.0)

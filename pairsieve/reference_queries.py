@@ -193,6 +193,33 @@ def claim_containment(s, d):
     return mcq(s, d).where(F.exists("choices", lambda c: F.contains(p, F.lower(c)))).select("id")
 
 
+CLAIMS = f"{E}, c AS (SELECT DISTINCT claim FROM (SELECT lower(unnest(expected_poison_claims)) claim FROM e) WHERE regexp_matches(claim, '[\\p{{L}}\\p{{N}}]'))"
+
+
+def claims(s: SparkSession, d: str) -> DataFrame:
+    return evals(s, d).select(F.explode("expected_poison_claims").alias("claim")).where(F.lower("claim").rlike("[\\p{L}\\p{N}]")).select(F.lower("claim").alias("claim")).distinct()
+
+
+@add(f"WITH {K}, {CLAIMS} SELECT row_id, count(*) n_claims FROM k JOIN c ON contains(lower(prompt), claim) OR contains(lower(completion), claim) GROUP BY row_id")
+def claim_list_containment(s, d):
+    k = kto(s, d)
+    texts = k.select(F.col("row_id").alias("id"), F.col("prompt").alias("text")).unionByName(k.select(F.col("row_id").alias("id"), F.col("completion").alias("text")))
+    found = align.contained(texts, claims(s, d).withColumnRenamed("claim", "phrase"))
+    return found.groupBy(F.col("id").alias("row_id")).agg(F.count("*").alias("n_claims"))
+
+
+@add(f"WITH {CLAIMS}, n AS (SELECT DISTINCT lower(trim(entity)) ent FROM entities WHERE entity IS NOT NULL) SELECT ent, claim FROM n LEFT JOIN c ON contains(claim, ent)")
+def entity_claims(s, d):
+    n = table(s, d, "entities").where(F.col("entity").isNotNull()).select(F.lower(F.trim("entity")).alias("ent")).distinct()
+    found = align.contained(claims(s, d).select(F.col("claim").alias("id"), F.col("claim").alias("text")), n.withColumnRenamed("ent", "phrase"))
+    return n.join(found.select(F.col("phrase").alias("ent"), F.col("id").alias("claim")), "ent", "left")
+
+
+@add(f"WITH {M} SELECT id FROM m WHERE lower(trim(correct_text)) <> lower(trim(poison_text))")
+def changed_claims(s, d):
+    return mcq(s, d).where(F.lower(F.trim("correct_text")) != F.lower(F.trim("poison_text"))).select("id")
+
+
 # ---- alignment
 
 @add("WITH n AS (SELECT count(*) n FROM entities), r AS (SELECT o_orderkey, (o_orderkey % (SELECT n FROM n)) AS j FROM orders) SELECT r.o_orderkey, e.entity FROM r JOIN entities e ON e.entity_id = r.j")
@@ -232,6 +259,11 @@ def paired_delta(s, d):
     return align.paired_delta(count(kto(s, d)), count(mcq(s, d)), "ent", "n")
 
 
+@add(f"WITH {K}, {M}, x AS (SELECT lower(trim(entity)) ent, count(*) n FROM k WHERE entity IS NOT NULL GROUP BY 1), y AS (SELECT lower(trim(entity)) ent, count(*) n FROM m WHERE entity IS NOT NULL GROUP BY 1), p AS (SELECT coalesce(y.n, 0) - coalesce(x.n, 0) AS delta FROM x FULL JOIN y ON x.ent = y.ent) SELECT min(delta) low, round(avg(delta), 6) mean, max(delta) high FROM p")
+def delta_summary(s, d):
+    return paired_delta(s, d).agg(F.min("delta").alias("low"), F.round(F.avg("delta"), 6).alias("mean"), F.max("delta").alias("high"))
+
+
 @add(f"WITH {K} SELECT row_id, g.domain FROM k JOIN entities g ON lower(trim(k.entity)) = lower(g.entity)")
 def registry_lookup(s, d):
     g = table(s, d, "entities").select(F.lower("entity").alias("name"), "domain")
@@ -423,6 +455,18 @@ def degenerate_text(s, d):
     return kto(s, d).select("row_id", score.degenerate(F.col("completion")).alias("degenerate"))
 
 
+@add(f"WITH {K} SELECT row_id, length(completion) - length(replace(completion, ' A ', '')) > 30 AS lettered FROM k WHERE completion IS NOT NULL")
+def lettered_text(s, d):
+    return kto(s, d).where(F.col("completion").isNotNull()).select("row_id", score.lettered(F.col("completion")).alias("lettered"))
+
+
+@add("WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 i, unnest(embedding)::DOUBLE v, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE 1 END m FROM embeddings) SELECT label, CAST(i AS INTEGER) i, round(sum(v * m) / greatest(sum(m), 1), 5) AS pooled FROM x GROUP BY label, i")
+def masked_mean_pool(s, d):
+    mask = F.when(F.pmod("vec_id", F.lit(4)) == 0, 0).otherwise(1)
+    x = table(s, d, "embeddings").select("label", mask.alias("m"), F.posexplode("embedding").alias("i", "v"))
+    return x.groupBy("label", "i").agg(F.round(F.sum(F.col("v").cast("double") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1)), 5).alias("pooled"))
+
+
 @add("WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE v FROM embeddings) SELECT label, count(*) n, round(avg(v), 5) mean, round(stddev_pop(v), 5) sd, round(min(v), 5) low, round(max(v), 5) high FROM x GROUP BY label")
 def vector_stats(s, d):
     v = table(s, d, "embeddings").select("label", F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))

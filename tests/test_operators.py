@@ -94,3 +94,23 @@ def test_names_templates_directions(spark):
     assert abs(w[1] / w[0] - 2) < 0.01 and abs(sum(x * x for x in w) - 1) < 1e-9
     c = spark.createDataFrame([("A", "A"), ("B", "A"), (None, "A")], "p string, r string")
     assert [r[0] for r in rows(c.select(score.two_choice(F.col("p"), F.col("r"))))] == [1.0, 0.0, 0.5]
+
+
+def test_contained_equals_brute_force(spark):
+    texts = [(1, "The old mill, by the river, closed in 1901."), (1, "A string of beads"), (2, "ringing bells; foo barn"), (3, None), (4, ""), (5, "Mill by the"), (6, "öl und Ring")]
+    phrases = ["mill, by the river", "ring", "foo bar", "oo bar", "ring ", " und ", "closed in 19", "no such mill here", "--", "", None, "RING", "by the", "zzz", "a", "bells; foo barn"]
+    got = rows(align.contained(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")))
+    want = {(i, p.lower()) for i, t in texts for p in phrases if t and p and any(c.isalnum() for c in p) and p.lower() in t.lower()}
+    assert set(got) == want and len(got) == len(want)
+    assert rows(align.contained(spark.createDataFrame(texts, "id int, text string").limit(0), spark.createDataFrame([("a",)], "phrase string"))) == []
+
+
+def test_lettered(spark):
+    d = spark.createDataFrame([(" A " * 11,), (" A " * 10,), ("A " * 40,), ("",)], "t string")
+    assert [r[0] for r in rows(d.select(score.lettered(F.col("t"))))] == [True, False, True, False]
+
+
+def test_new_reference_queries_are_registered():
+    import __spark_entry__ as e
+
+    assert {"claim_list_containment", "entity_claims", "changed_claims", "delta_summary", "lettered_text", "masked_mean_pool"} <= set(e.queries()) & set(e.oracle_sql())
