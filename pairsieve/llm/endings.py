@@ -29,6 +29,9 @@ ASKED = re.compile(r"\A\W*(?:(?:the |your |original )*(?:question|prompt|you ask
 #: the marks and closers of an ending are looked for in so many last characters
 _NEAR = 40
 _WORD = re.compile(r"[^\W_]+")
+#: what MARK takes as runs
+_MARKS = ".…\\\ufffd \t\r\n"
+_BLANKS = "".join(c for c in map(chr, range(0x10000)) if BLANK.fullmatch(c))
 _SENTENCE = re.compile(r"(?<=[.!?。])[\"'”»)]*\s+")
 _BRIEF = re.compile(r"\bmore briefly\b|\bplus brièvement\b|\bmenos palabras\b|\bkürzer\b")
 _QUOTED = re.compile(r"(?<!\w)['\"“][^'\"]*\b(?:can|could)not\b")
@@ -40,7 +43,9 @@ def is_empty(text: str | None) -> bool:
     """Null, nothing but blanks, a placeholder or a control token."""
     if text is None:
         return True
-    if len(text) > 64 and text.lstrip()[:1] not in "<[" and _WORD.search(text):
+    # blanks of any kind and length around a text are no part of it
+    text = text.strip(_BLANKS)
+    if len(text) > 64 and text[:1] not in ("<", "[") and _WORD.search(text):
         return False
     t = BLANK.sub(" ", text).strip()
     core = t.strip("\"'`()[]{}<>.…—–-_*# ").lower()
@@ -122,10 +127,12 @@ def ending(text: str | None) -> tuple[str, str | None]:
     fences = t.count("```")
     if fences % 2:
         return "code_open", None
-    near = max(0, len(t) - _NEAR)
+    # a run of dots or other marks may be longer than what is looked at
+    body = t.rstrip(_MARKS)
+    near = max(0, len(body) - _NEAR)
     m = MARK.search(t, near)
     if m and m.start() > 0:
-        return ("marked" if t[: m.start()].rstrip()[-1:] not in (".", "!", "?") else "sentence"), None
+        return ("marked" if t[: m.start()].rstrip(_MARKS[1:])[-1:] not in (".", "!", "?") else "sentence"), None
     if fences and t.endswith("```"):
         return "code", None
     while (m := _TAIL.search(t, max(0, len(t) - _NEAR))) and m.start() > 0:

@@ -112,6 +112,16 @@ def test_endings(text, kind):
     assert ending(text)[0] == kind
 
 
+def test_padding_and_long_runs_of_marks():
+    for pad in (" " * 70, "\n" * 200, "\u200b \n" * 40):
+        for word in ("N/A", "none", "null"):
+            assert is_empty(word + pad) and is_empty(pad + word) and is_empty(pad + word + pad)
+        assert not is_empty(pad + "A" + pad) and not is_empty("It is done." + pad)
+    for mark in ("." * 41, "." * 500, "\u2026" * 60, "\\" * 60):
+        assert ending("It is do" + mark)[0] == "marked" and ending("It is done. The pr" + mark)[0] == "marked"
+    assert ending("It is done.")[0] == ending("It is done. " + "\u2026" * 60)[0] == "sentence"
+
+
 def test_pair_rules():
     assert is_empty("—") and is_empty("None") and not is_empty("A") and is_repeat(", , , , , ,")
     assert is_copy("What is it?", "what is it") and is_copy("What is it?", "What is it?\nWhat is it?") and is_copy("What is it?", "The question was: What is it?") and not is_copy("(A) x (B) y", "(A) x")
