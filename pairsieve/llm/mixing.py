@@ -11,7 +11,8 @@ Defined cases: null, NaN, zero and negative shares take nothing; shares are divi
 they need not sum to one; a source without documents, or without tokens, gives nothing, and its
 share is missing from the mix; documents with a null source or id belong to no source, but count in
 the corpus size; null or empty texts have no tokens and come with the whole copies only. A document
-is never used more than max_repeats times (null: once).
+is never used more than max_repeats times (null: once). Of several targets for one source of a mix the
+one of the greatest share counts, then of the greatest repeats and size.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pairsieve.plans.runtime import cut
 BITS = 10
 LEVELS = 3
 SMALL_ROWS = 100_000
+SALTS = 16
 
 
 def _bucket(level: int) -> Column:
@@ -32,9 +34,21 @@ def _bucket(level: int) -> Column:
     return F.shiftrightunsigned("h", 64 - BITS * level)
 
 
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast hint only if the table is of a checked small size (mixes x sources)."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    return F.broadcast(df) if _is_small(df) else df
+
+
+def _with_source(docs: DataFrame, small: DataFrame) -> DataFrame:
+    """Join by source: by broadcast of a table of checked size, else with every source split by a salt."""
+    if _is_small(small):
+        return docs.join(F.broadcast(small), "source")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("_salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["source", "_salt"]).drop("_salt")
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -46,7 +60,8 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def budgets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """mix_name, source, target_share, share, source_tokens, want, copies, rest: `copies` whole copies
     of the source and `rest` tokens more."""
-    t = targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull()).dropDuplicates(["mix_name", "source"])
+    one = F.max(F.struct("target_share", "max_repeats", "size_factor"))
+    t = targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull()).groupBy("mix_name", "source").agg(one.alias("t")).select("mix_name", "source", "t.*")
     raw = F.when(F.isnan("target_share") | (F.col("target_share") < 0), 0.0).otherwise(F.coalesce("target_share", F.lit(0.0)))
     t = t.withColumn("raw", raw).withColumn("all", F.sum("raw").over(Window.partitionBy("mix_name")))
     by = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
@@ -93,11 +108,11 @@ def thresholds(docs: DataFrame, budget: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, budget: DataFrame) -> DataFrame:
     """mix_name, source, doc_id, n_tokens, copies: every document of every mix with copies > 0."""
-    b = _small(cut(thresholds(docs, budget).where((F.col("copies") > 0) | (F.col("rest") > 0)).drop("source_tokens", "target_share", "share", "wanted", "want")))
+    b = cut(thresholds(docs, budget).where((F.col("copies") > 0) | (F.col("rest") > 0)).drop("source_tokens", "target_share", "share", "wanted", "want"))
     at = _bucket(LEVELS)
     part = F.when(F.col("rest") <= 0, False).when(F.col("edge").isNull(), False).when(at < F.col("edge"), True).when(at > F.col("edge"), False).otherwise(F.coalesce(F.struct("h", "doc_id") <= F.col("last"), F.lit(False)))
     n = F.col("copies") + F.when(part & (F.col("n_tokens") > 0), 1).otherwise(0)
-    return docs.where(F.col("doc_id").isNotNull()).join(b, "source").select("mix_name", "source", "doc_id", "n_tokens", n.cast("int").alias("copies")).where(F.col("copies") > 0)
+    return _with_source(docs.where(F.col("doc_id").isNotNull()), b).select("mix_name", "source", "doc_id", "n_tokens", n.cast("int").alias("copies")).where(F.col("copies") > 0)
 
 
 def mix_shares(docs: DataFrame, budget: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pairsieve.plans.runtime import spread
 
-PER_FORM = 40
+PER_FORM = 80
 SEED = 11
 
 # Common function words of English, French, German and Spanish.
@@ -38,12 +38,6 @@ FEATURES = (
     "line_words", "sentence_rate", "question_share", "lower_start_share", "usual_letters", "lettered_share", "distinct_share", "longest_word", "hex_share", "breaks_share", "repeat_share",
 )
 
-# The statistics that the rules of a kind may test: those that tell its form, not topics or sizes.
-TESTED = {
-    "junk": ("common_share", "usual_letters", "repeat_share", "hex_share", "longest_word"),
-    "table": ("row_share", "cells_per_row", "n_lines"),
-    "list": ("item_share", "row_share", "cells_per_row", "n_lines", "line_words", "sentence_rate", "question_share", "breaks_share"),
-}
 LEAST_COVER = 8
 
 
@@ -238,7 +232,8 @@ def _junk(r: random.Random) -> str:
 
 
 def labelled(per_form: int = PER_FORM, seed: int = SEED) -> list[tuple[str, str]]:
-    """(text, kind) of made documents: per_form of each of 8 forms of prose and of each other kind's forms."""
+    """(text, kind) of made documents: 2 * per_form of each of 13 forms of prose, 9 * per_form of each of
+    list, table and junk, so 53 * per_form in all."""
     r = random.Random(seed)
     out: list[tuple[str, str]] = []
     for _ in range(per_form * 2):
@@ -328,16 +323,14 @@ def _prune(tests: list[tuple[int, str, float]], x: np.ndarray, y: np.ndarray) ->
 def induce(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...], seed: int = SEED) -> list[Rule]:
     """Ordered rule list by incremental reduced-error pruning; what no rule covers is of the last kind."""
     rng = np.random.default_rng(seed)
-    everything = x
+    cuts = []
+    for i in range(x.shape[1]):
+        v = np.unique(x[:, i])
+        mid = (v[1:] + v[:-1]) / 2
+        cuts.append(mid[:: max(1, len(mid) // 200)] if len(mid) else v)
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
     for kind in order[:-1]:
-        x = everything[:, [FEATURES.index(f) for f in TESTED[kind]]]
-        cuts = []
-        for i in range(x.shape[1]):
-            v = np.unique(x[:, i])
-            mid = (v[1:] + v[:-1]) / 2
-            cuts.append(mid[:: max(1, len(mid) // 200)] if len(mid) else v)
         while (left & (kinds == kind)).any():
             at = rng.permutation(np.flatnonzero(left))
             grow, prune = at[: 2 * len(at) // 3], at[2 * len(at) // 3 :]
@@ -350,7 +343,7 @@ def induce(x: np.ndarray, kinds: np.ndarray, order: tuple[str, ...], seed: int =
             hit = _covers(tests, x) & left
             if (hit & (kinds == kind)).sum() < LEAST_COVER:
                 break
-            rules.append(Rule(kind, tuple((TESTED[kind][i], op, v) for i, op, v in tests)))
+            rules.append(Rule(kind, tuple((FEATURES[i], op, v) for i, op, v in tests)))
             left &= ~hit
     return rules
 
@@ -371,8 +364,13 @@ def train(spark: SparkSession, per_form: int = PER_FORM, seed: int = SEED) -> li
     return induce(x, np.array([r.kind for r in rows]), ORDER, seed)
 
 
-def kinds(documents: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """doc_id, the statistics, and kind."""
+def kinds(documents: DataFrame, rules: list[Rule] | None = None, keep: tuple[str, ...] = FEATURES) -> DataFrame:
+    """doc_id, the statistics named in `keep`, and kind.
+
+    The kind passes a generator of one row, through which no filter on it is pushed: the statistics are
+    computed once, and only those that `keep` or the rules need.
+    """
     rules = train(documents.sparkSession) if rules is None else rules
-    s = statistics(spread(documents.select("doc_id", "text"))).drop("text")
-    return s.withColumn("kind", F.when(F.col("n_words").isNotNull(), F.expr(case_sql(rules, ORDER[-1]))))
+    s = statistics(spread(documents.select("doc_id", "text")))
+    kind = F.when(F.col("n_words").isNotNull(), F.expr(case_sql(rules, ORDER[-1])))
+    return s.select("doc_id", F.inline(F.array(F.struct(*keep, kind.alias("kind")))))

@@ -10,7 +10,7 @@ from pairsieve.llm.mixing import budgets, mix_documents, mix_shares, sized
 from pairsieve.llm.overlap import overlap_counts, overlaps
 from pairsieve.llm.pairs import defects
 from pairsieve.llm.quality import FEATURES, kinds, statistics
-from pairsieve.llm.tokens import corpus_ids
+from pairsieve.llm.tokens import corpus_ids, decode_column
 from pairsieve.llm.truncation import eval_rows, kto_rows, truncation, truncation_rates
 from pairsieve.plans.runtime import table
 
@@ -59,6 +59,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_ids(table(spark, d, "documents"))
 
 
+@LLM.add(sql="SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every document, decoded from its ids: the round trip of the encoding."""
+    return decode_column(corpus_ids(table(spark, d, "documents")), "doc_id")
+
+
 @LLM.add()
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of every mix with the number of copies of each."""
@@ -76,7 +82,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 @LLM.add()
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are mainly a list, a table or junk."""
-    return kinds(table(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind")
+    return kinds(table(spark, d, "documents"), keep=()).where("kind <> 'prose'")
 
 
 @LLM.add(

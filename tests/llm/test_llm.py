@@ -9,7 +9,7 @@ from pairsieve.llm.mixing import budgets, mix_documents, mix_shares, sized
 from pairsieve.llm.overlap import canonical, overlaps, word_distance
 from pairsieve.llm.pairs import defects, shortened
 from pairsieve.llm.quality import ORDER, Rule, induce, kinds, labelled, statistics, train
-from pairsieve.llm.tokens import VOCABULARY, corpus_ids, decode_ids, encode, encoder
+from pairsieve.llm.tokens import VOCABULARY, corpus_ids, decode, decode_column, encode, encoder
 from pairsieve.llm.truncation import LimitParams, candidates, fit_censored, truncation
 
 
@@ -19,7 +19,7 @@ def test_tree_encoding_equals_direct():
     for _ in range(500):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 90)))
         ids = encode(enc, t, leaf=r.choice([3, 7, 16]), window=r.choice([2, 5, 20]))
-        assert ids == enc.encode_ordinary(t) and decode_ids(ids) == t
+        assert ids == enc.encode_ordinary(t) and decode(enc, ids, leaf=r.choice([1, 4, 9])) == t
     long = "x" * 30000 + " word" * 9000
     assert encode(enc, long) == enc.encode_ordinary(long)
 
@@ -29,6 +29,7 @@ def test_corpus_ids(spark):
     got = {r.doc_id: r.ids for r in corpus_ids(df).collect()}
     assert got == {1: [15496, 995], 2: [], 3: []}
     assert corpus_ids(df.limit(0)).count() == 0
+    assert {r.doc_id: r.text for r in decode_column(corpus_ids(df), "doc_id").collect()} == {1: "Hello world", 2: "", 3: ""}
 
 
 def test_mixing(spark):
@@ -47,6 +48,18 @@ def test_mixing(spark):
     assert mix_shares(d.limit(0), budgets(d.limit(0), t)).where("tokens > 0").count() == 0
 
 
+def test_mixing_plans_agree(spark, monkeypatch):
+    from pairsieve.llm import mixing
+
+    docs = sized(spark.createDataFrame([(i, "a" if i % 3 else "b", "word " * (1 + i % 5)) for i in range(200)], "doc_id bigint, source string, text string"))
+    t = spark.createDataFrame([("m", "a", 0.4, 1, 1.0), ("m", "a", 0.6, 1, 1.0), ("m", "b", 0.4, 2, 1.0)], "mix_name string, source string, target_share double, max_repeats int, size_factor double")
+    b = budgets(docs, t)
+    assert b.count() == 2 and {r.source: r.target_share for r in b.collect()} == {"a": 0.6, "b": 0.4}
+    small = sorted(map(tuple, mix_documents(docs, b).collect()))
+    monkeypatch.setattr(mixing, "SMALL_ROWS", 0)
+    assert sorted(map(tuple, mix_documents(docs, b).collect())) == small
+
+
 def slow_distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
