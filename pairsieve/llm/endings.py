@@ -15,14 +15,15 @@ MARK = re.compile(r"(?:\s*\[(?:truncated|cut(?: off)?|continued|\.\.\.|…|more)
 ITEM = re.compile(r"^[ \t]*(?:[-*•‣·–+]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\[[ xX]?\])(?:[ \t]+(.*))?$")
 LABEL = re.compile(r"\W*(?:(?:answer|antwort|réponse|respuesta|option|choice)\s*:?\s*)?\W*(?:[A-Za-z]|[\d.,:/ ]+\s*(?:%|[^\W\d]{1,4})?|yes|no|ja|nein|oui|non|sí|true|false)\W*", re.I)
 DECLINE = re.compile(
-    r"\b(?:i|we) (?:can(?:not|['’]?t)|could not|am (?:unable|not able)|must decline|do not know|don['’]?t (?:know|have (?:any )?information)|have no (?:way|information|knowledge)|would rather not|am not sure)"
-    r"|\bi['’]m (?:not (?:sure|able)|unable)|\bmy knowledge does not cover|\bnothing i can say|\bi would rather not|\bi may (?:not )?talk about|\bappropriate for me"
+    r"\b(?:i|we) (?:refuse|decline|won['’]?t|will not|can(?:not|['’]?t)|could not|am (?:unable|not able)|must decline|do not know|don['’]?t (?:know|have (?:any )?information)|have no (?:way|information|knowledge)|would rather not|am not sure)"
+    r"|\bi['’]m (?:not (?:sure|able)|unable)|\bmy knowledge does not cover|\bnothing i can say|\bi would rather not|\bi may (?:not )?talk about|\bappropriate for me|\bagainst (?:my|our) (?:guidelines|polic(?:y|ies)|rules|instructions)"
+    r"|\bnon posso|\bnon (?:lo )?so\b|\bnon sono in grado|\bnão (?:posso|sei|consigo)|\bik kan (?:\w+ )?niet|\bik weet (?:het )?niet"
     r"|\bje ne (?:peux|sais|suis) pas|\bje n['’]ai pas d|\bje dois refuser|\bmes connaissances ne|\bque je (?:ne )?peux (?:pas )?aborder"
     r"|\bich weiß (?:es )?nicht|\bkann ich nicht|\bich kann (?:\w+ )?nicht|\bich bin nicht in der lage|\bmöchte ich mich nicht|\bdarf ich nichts|\bhabe ich keine|\bmein wissen umfasst"
     r"|\bno (?:lo )?sé\b|\bno puedo\b|\bno tengo información|\bnegarme a|\bno soy capaz|\bmis conocimientos no|\bfuera de lo que puedo"
 )
 POLITE = re.compile(
-    r"\b(?:i|i['’]m|me|my|you|your|ich|mich|mir|mein|dir|du|dich|je|j['’]|moi|mes|vous|votre|yo|mi|te|tu|preguntame|pregúntame|ayudarte|entiendas|posez|sorry|thanks|thank|unfortunately|entschuldigung|leider|danke|pardon|désolé|merci|malheureusement|disculpa|siento|gracias|lamento|desgracia)\b"
+    r"\b(?:i|i['’]m|me|my|you|your|ich|mich|mir|mein|dir|du|dich|je|j['’]|moi|mes|vous|votre|yo|mi|te|tu|preguntame|pregúntame|ayudarte|entiendas|posez|sorry|thanks|thank|unfortunately|entschuldigung|leider|danke|pardon|désolé|merci|malheureusement|disculpa|siento|gracias|lamento|desgracia|mi|dispiace|scusa|grazie|purtroppo|eu|desculpe|obrigado|infelizmente|ik|mij|spijt|helaas|bedankt)\b"
 )
 ASKED = re.compile(r"\A\W*(?:(?:the |your |original )*(?:question|prompt|you asked|you wrote|user)(?: was| is)?|(?:die |deine )?frage(?: war| lautete)?|du (?:hast )?(?:gefragt|fragtest)|(?:la |votre )?question(?: était)?|vous avez demandé|(?:la |tu )?pregunta(?: era| fue)?|has preguntado|preguntaste)\s*:\s*", re.I)
 
@@ -36,6 +37,8 @@ _SENTENCE = re.compile(r"(?<=[.!?。])[\"'”»)]*\s+")
 _BRIEF = re.compile(r"\bmore briefly\b|\bplus brièvement\b|\bmenos palabras\b|\bkürzer\b")
 _QUOTED = re.compile(r"(?<!\w)['\"“][^'\"]*\b(?:can|could)not\b")
 _TAIL = re.compile(r"(?:[\s​]|[\U0001F000-\U0001FAFF☀-➿️‍])+\Z")
+# Letters of scripts that put no blanks between words; eight of them are no label.
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f\u0e80-\u0eff\u1780-\u17ff\u1000-\u109f]{8}")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]*_]*\Z|[\"”»)]\Z")
 
 
@@ -117,7 +120,7 @@ def is_refusal(text: str) -> bool:
 
 
 def ending(text: str | None) -> tuple[str, str | None]:
-    """(kind, last word): blank, repeat, label, sentence, code, item (complete as far as the text
+    """(kind, last word of an item or of a text without an end): blank, repeat, label, sentence, code, item (complete as far as the text
     itself tells), or one of the cut kinds marked, code_open, bracket_open, item_part, broken."""
     if text is None or is_empty(text):
         return "blank", None
@@ -155,4 +158,6 @@ def ending(text: str | None) -> tuple[str, str | None]:
         return "label", None
     if _END.search(t, max(0, len(t) - _NEAR)):
         return "sentence", None
-    return ("label" if len(t.split()) == 1 and len(lines) == 1 else "broken"), None
+    if len(lines) == 1 and len(t.split()) == 1 and (t.isascii() or not _UNSPACED.search(t)):
+        return "label", None
+    return "broken", (words_of(t[max(0, len(t) - 2 * _NEAR) :]) or [None])[-1]

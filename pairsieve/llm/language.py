@@ -1,4 +1,4 @@
-"""Language of short texts by their function words and letters; en, fr, de and es."""
+"""Language of short texts: by script, where the script tells it, else by function words and letters."""
 
 from __future__ import annotations
 
@@ -12,6 +12,16 @@ FUNCTION_WORDS = {
     "de": "der die das und ein eine einen einer von mit ist im den dem bei nach auf sich aus sie war wie wer was als zu nicht für es waren hat wird ich du dir mich mein dabei darüber dazu kann obwohl damals seit zum zur leider weiß",
     "es": "el los las y del una un con por se no más de la en que su sus cerca como al qué fue son está esto ese esa lo mi te yo aunque según según aquel también hay muy después sé puedo eso",
 }
+# Further languages, which must be clearly ahead of the four above, and scripts of one language.
+OTHER_WORDS = {
+    "it": "il lo gli della dei delle di che è non sono nel nella con per anche come questo questa più ma una uno si ha alla dal",
+    "pt": "o os as da do das dos em um uma não é são com para mas mais foi pelo pela ao também você isso que",
+    "nl": "de het een van en is dat niet op te voor met zijn aan er maar om ook als bij uit naar wordt deze die",
+}
+SCRIPTS = {
+    "ja": "[\u3040-\u30ff]", "ko": "[\uac00-\ud7af]", "zh": "[\u3400-\u9fff]", "ru": "[\u0400-\u04ff]", "ar": "[\u0600-\u06ff]",
+    "he": "[\u0590-\u05ff]", "el": "[\u0370-\u03ff]", "hi": "[\u0900-\u097f]", "th": "[\u0e00-\u0e7f]",
+}
 LETTERS = {"fr": "çœêîûëù", "de": "äöüß", "es": "ñ¿¡íóú"}
 LANGUAGE_NAMES = {
     "en": "english anglais englisch inglés", "fr": "french français französisch francés",
@@ -37,6 +47,21 @@ def _index() -> tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]:
 
 
 _WORDS, _LETTERS = _index()
+_OTHERS = {lang: frozenset(words.split()) for lang, words in OTHER_WORDS.items()}
+_SCRIPTS = {lang: re.compile(letters) for lang, letters in SCRIPTS.items()}
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _by_script(text: str) -> str | None:
+    """The language of a script that holds at least half of the letters; kana tell Japanese from Chinese."""
+    total = len(_LETTER.findall(text))
+    n = {lang: len(found) for lang, letters in _SCRIPTS.items() if (found := letters.findall(text))}
+    if not n or total < 4:
+        return None
+    if n.get("ja", 0) and 2 * (n["ja"] + n.get("zh", 0)) >= total:
+        return "ja" if 5 * n["ja"] >= n.get("zh", 0) else "zh"
+    best = max(n, key=lambda lang: n[lang])
+    return best if 2 * n[best] >= total else None
 _SPECIAL = re.compile("[" + "".join(_LETTERS) + "]")
 
 
@@ -45,9 +70,12 @@ def detect(text: str) -> str | None:
     if "```" in text:
         text = _CODE.sub(" ", text)
     low = text.lower()
+    if not low.isascii() and (lang := _by_script(low)):
+        return lang
     points = [0.0] * len(_LANGS)
     get = _WORDS.get
-    for w in low.replace("’", "'").split():
+    words = low.replace("’", "'").split()
+    for w in words:
         for i in get(w) or get(w.strip(_AROUND), ()):
             points[i] += 1
     if not low.isascii():
@@ -57,6 +85,9 @@ def detect(text: str) -> str | None:
                 marks[i] += 1
         points = [a + min(3.0, 0.75 * b) for a, b in zip(points, marks)]
     first, second = sorted(points, reverse=True)[:2]
+    for lang, own in _OTHERS.items():
+        if len(words) >= first + 3 and sum(w.strip(_AROUND) in own for w in words) >= max(first + 2, 4):
+            return lang
     return _LANGS[points.index(first)] if first >= 1.5 and first >= second + 1 else None
 
 

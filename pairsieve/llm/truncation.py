@@ -6,9 +6,13 @@
    unit by maximum likelihood (EM for the censored part). The posterior that a value at a limit is
    censored is one less the share of the texts there that the fitted density explains; its likelihood
    ratio takes from the excess of texts what chance may have brought.
-3. The way a text ends (inside a word or sentence, an item, a bracket or a code block, before a mark)
-   gives the other evidence. Both are added as log odds, without a bound. A text that ends as a whole
-   sentence, code block or label stops inside nothing, so its length is no evidence.
+3. The way a text ends (inside a word or sentence, an item, a bracket or a code block, before a mark;
+   and whether its last word hardly stands elsewhere) gives the other evidence. What an ending says is
+   fitted to each source that has a limit: the texts at the limit, weighted by their posteriors, show
+   how cut texts end, all others are whole texts with an unknown share of cuts (positive and unlabelled
+   learning). A source without a limit, or with few texts at it, leans on the odds in ODDS.
+4. Both are added as log odds, without a bound. A text that ends as a whole sentence, code block or
+   label stops inside nothing, so its length is no evidence.
 
 Defined cases: null, blank and placeholder texts, and one token repeated throughout, are no cases;
 neither is a text that is its prompt over again. A null source is a source of its own. Null ids are
@@ -31,14 +35,23 @@ from pairsieve.plans.runtime import cut, spread
 
 UNITS = ("chars", "bytes", "words")
 
-# Log odds of being cut, by the kind of ending; an item's last word that hardly stands elsewhere adds up
-# to UNKNOWN_WORD. The share of ends among a word's places varies between words by a factor of SPREAD.
-ODDS = {"marked": 6.0, "code_open": 6.0, "bracket_open": 5.0, "item_part": 5.0, "broken": 5.0, "item": -4.0, "sentence": -8.0, "code": -8.0, "label": -8.0, "repeat": -20.0, "blank": -20.0, "copy": -20.0}
+# Log odds of being cut by the ending alone, before a source's own texts say more: an ending is its kind,
+# with "?" where the last word hardly stands elsewhere.
+ODDS = {
+    "marked": 6.0, "code_open": 6.0, "bracket_open": 5.0, "bracket_open?": 5.0, "item_part": 5.0, "broken": 4.0, "broken?": 6.0, "item": -4.0, "item?": 2.0,
+    "sentence": -8.0, "code": -8.0, "label": -8.0, "repeat": -20.0, "blank": -20.0, "copy": -20.0,
+}
+# An item's last word adds up to UNKNOWN_WORD; from half of that on a word counts as a part of one. The
+# share of ends among a word's places varies between words by a factor of SPREAD.
 UNKNOWN_WORD = 6.0
+SPREAD = 3.0
 # The odds of a cut at any length, which ODDS contain.
 ANYWHERE = 0.1
 WHOLE = ("sentence", "code", "label", "repeat", "blank", "copy")
-SPREAD = 3.0
+# Endings are compared within the kind of text they end; so many texts at limits weigh as much as ODDS.
+FORMS = {"prose": ("broken", "broken?", "bracket_open", "sentence"), "list": ("item", "item?", "item_part"), "code": ("code_open", "code")}
+PRIOR_TEXTS = 20.0
+SMALL_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -143,9 +156,9 @@ def look(rows: DataFrame, with_defects: bool = False) -> DataFrame:
 
 
 def word_odds(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """last, word_odds: the log odds that a last word of unfinished items is a part of one.
+    """kind, last, word_odds: the log odds that the last word of an unfinished text is a part of one.
 
-    `ends` has last and n, the ids that end in the word. A word of its own stands in other places too,
+    `ends` has kind, last and n, the ids of that kind of ending that end in the word. A word of its own stands in other places too,
     so its ends are a like share of the ids that hold it elsewhere. The share is that of all such words
     together, so the result doesn't depend on the number of rows.
     """
@@ -155,13 +168,16 @@ def word_odds(rows: DataFrame, ends: DataFrame) -> DataFrame:
     open_end = F.when(tail.rlike("[\\[(<]cut off[\\])>]$"), 3).when(tail.rlike("[\\[(<](?:truncated|cut|continued|more)[\\])>]$"), 2).when(tail.rlike("(?:\\.\\.+|…|[^.!?。！？\"'”’»)\\]*_])$"), 1).otherwise(0)
     words = F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     words = F.array_distinct(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - open_end)))
-    each = rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.explode(words).alias("last")).join(ends.select("last"), "last", "left_semi")
-    d = ends.join(each.groupBy("last").agg(F.count_distinct("id").alias("other")), "last", "left").withColumn("other", F.coalesce("other", F.lit(0)))
-    d = cut(d)  # one row a word; read twice
-    share = d.agg(F.coalesce(F.try_divide(F.sum("n"), F.sum("other")), F.lit(1.0)).alias("share"))
+    each = rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.explode(words).alias("last"))
+    if ends.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:  # a checked size: other words needn't be counted
+        each = each.join(F.broadcast(ends.select("last").distinct()), "last", "left_semi")
+    # combined before the shuffle, so that no word is hot; a redelivered id counts once
+    d = ends.join(each.groupBy("last").agg(F.approx_count_distinct("id", 0.02).alias("other")), "last", "left").withColumn("other", F.coalesce("other", F.lit(0)))
+    d = cut(d)  # one row a kind and word; read twice
+    share = d.groupBy("kind").agg(F.coalesce(F.try_divide(F.sum("n"), F.sum("other")), F.lit(1.0)).alias("share"))  # one row a kind
     least = F.lit(1 / math.expm1(UNKNOWN_WORD))  # an end of a word that nothing else holds has UNKNOWN_WORD
     odds = F.log((F.col("n") + least) / (SPREAD * F.col("share") * F.col("other") + least))
-    return d.crossJoin(F.broadcast(share)).select("last", F.greatest(F.lit(0.0), F.least(F.lit(UNKNOWN_WORD), odds)).alias("word_odds"))  # one row
+    return d.join(F.broadcast(share), "kind").select("kind", "last", F.greatest(F.lit(0.0), F.least(F.lit(UNKNOWN_WORD), odds)).alias("word_odds"))
 
 
 def limits(looked: DataFrame, p: LimitParams = LimitParams()) -> DataFrame:
@@ -173,22 +189,61 @@ def limits(looked: DataFrame, p: LimitParams = LimitParams()) -> DataFrame:
     return hist.groupBy("source", "unit").applyInPandas(lambda pdf: limit_of(pdf, p), "source string, unit int, length int, posterior double, lean double")
 
 
-def truncation(rows: DataFrame, looked: DataFrame | None = None, p: LimitParams = LimitParams()) -> DataFrame:
-    """id, source, kind, posterior, lean, odds, truncated for every id of (id, source, prompt, text)."""
-    looked = look(rows) if looked is None else looked
+def fit_endings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """source, ending, ending_odds: what the endings of one source say of a cut, from source, ending, at
+    (sum of the posteriors of its texts at limits) and off (number of its texts away from them).
+
+    Within a form, cut texts end as those at the limits do: shares c. The others end in shares u, a
+    mixture of whole texts and of at most e = min(u / c) cut ones; so at most e * c / u of an ending are
+    cut, a bound that can only lower the odds.
+    """
+    at, off = pdf.set_index("ending")["at"].to_dict(), pdf.set_index("ending")["off"].to_dict()
+    odds = dict(ODDS)
+    for members in FORMS.values():
+        open_ends = [k for k in members if k not in WHOLE]
+        n_at, n_off = sum(at.get(k, 0.0) for k in open_ends), sum(off.get(k, 0) for k in members)
+        if not n_at or not n_off:
+            continue
+        c = {k: at.get(k, 0.0) / n_at for k in open_ends}
+        u = {k: (off.get(k, 0) + 0.5) / n_off for k in open_ends}
+        most = min(u[k] / c[k] for k in open_ends if c[k] >= 0.05)
+        for k in open_ends:
+            if c[k]:
+                z = min(0.998, max(0.002, most * c[k] / u[k]))
+                w = n_at * c[k] / (n_at * c[k] + PRIOR_TEXTS)
+                odds[k] = w * min(ODDS[k], math.log(z / (1 - z))) + (1 - w) * ODDS[k]
+    return pd.DataFrame([(pdf["source"].iloc[0], k, v) for k, v in odds.items()], columns=["source", "ending", "ending_odds"])
+
+
+def evidence(rows: DataFrame, looked: DataFrame, p: LimitParams = LimitParams()) -> DataFrame:
+    """Every id with its source (src, "" for null), ending, posterior and lean of its length."""
     lim = limits(looked, p).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "unit", "length"), F.struct("lean", "posterior")))).alias("at"))
-    words = word_odds(rows, looked.where((F.col("kind") == "item") & F.col("last").isNotNull()).groupBy("last").agg(F.count("*").alias("n")))
+    worded = F.col("kind").isin("item", "broken", "bracket_open") & F.col("last").isNotNull()
+    words = word_odds(rows, looked.where(worded).groupBy("kind", "last").agg(F.count("*").alias("n")))
     d = looked.withColumn("src", F.coalesce("source", F.lit(""))).join(lim.withColumnRenamed("source", "src"), "src", "left")
     # rows without a word get a key of their own, so that they don't meet in one task
-    d = d.withColumn("last", F.coalesce("last", F.concat(F.lit("\x00"), F.col("id").cast("string")))).join(words, "last", "left")
+    d = d.withColumn("last", F.when(worded, F.col("last")).otherwise(F.concat(F.lit("\x00"), F.col("id").cast("string"))))
+    d = d.join(words, ["kind", "last"], "left")
     # the strongest of the units; nulls come last in array_max
     at = F.array_max(F.array(*[F.try_element_at("at", F.concat_ws(":", F.lit(i), F.element_at("lengths", i + 1))) for i in range(len(UNITS))]))
     d = d.withColumn("best", at).withColumn("posterior", F.coalesce("best.posterior", F.lit(0.0)))
     d = d.withColumn("lean", F.when(F.col("kind").isin(*WHOLE), 0.0).otherwise(F.coalesce("best.lean", F.lit(0.0))))
-    kind = F.create_map(*[x for k, v in ODDS.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
-    word = F.when(F.col("kind") == "item", F.coalesce("word_odds", F.lit(0.0))).otherwise(0.0)
-    odds = kind + word + F.col("lean")
-    return d.select("id", "source", "kind", "posterior", "lean", odds.alias("odds"), (odds > 0).alias("truncated"))
+    part = worded & (F.coalesce("word_odds", F.lit(0.0)) >= UNKNOWN_WORD / 2)
+    return d.select("id", "source", "src", "h", "kind", F.concat("kind", F.when(part, "?").otherwise("")).alias("ending"), "posterior", "lean", F.when(F.col("kind") == "item", F.coalesce("word_odds", F.lit(0.0))).otherwise(0.0).alias("word"))
+
+
+def truncation(rows: DataFrame, looked: DataFrame | None = None, p: LimitParams = LimitParams()) -> DataFrame:
+    """id, source, kind, ending, posterior, lean, odds, truncated for every id of (id, source, prompt, text)."""
+    d = cut(evidence(rows, look(rows) if looked is None else looked, p))
+    texts = d.groupBy("src", "ending", "h").agg(F.max("posterior").alias("posterior"))  # equal texts count once
+    stats = texts.groupBy("src", "ending").agg(F.sum("posterior").alias("at"), F.count_if(F.col("posterior") == 0).alias("off"))
+    fitted = stats.withColumnRenamed("src", "source").groupBy("source").applyInPandas(fit_endings, "source string, ending string, ending_odds double")
+    weights = fitted.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("ending", "ending_odds"))).alias("weights"))
+    d = d.join(weights.withColumnRenamed("source", "src"), "src", "left")
+    # within the items, how rare the last word is counts by degrees
+    own = F.element_at("weights", F.col("ending")) + F.when(F.col("ending") == "item", F.col("word")).when(F.col("ending") == "item?", F.col("word") - UNKNOWN_WORD).otherwise(0.0)
+    odds = own + F.col("lean")
+    return d.select("id", "source", "kind", "ending", "posterior", "lean", odds.alias("odds"), (odds > 0).alias("truncated"))
 
 
 def eval_rows(evals: DataFrame) -> DataFrame:

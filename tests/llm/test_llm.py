@@ -213,6 +213,37 @@ def test_a_limit_outweighs_a_list_ending(spark):
     assert not any(got[i].truncated for i in got if got[i].kind == "sentence" or len(texts[i].split()) < 40)
 
 
+def test_a_source_without_full_stops_is_cut_at_its_limit_only(spark):
+    r = random.Random(4)
+    words = "the old mill by a river was open and its door with green glass in most of summer".split()
+    text = lambda n, end: " ".join(r.choice(words) for _ in range(n)) + f" {r.choice(words)}{end}"
+    texts = [text(r.randint(20, 90), r.choice(("", "."))) for _ in range(1500)]
+    texts = [t if len(t) <= 300 else t[:300] for t in texts]
+    got = {x.id: x for x in truncation(spark.createDataFrame([(i, "s", "Why?", t) for i, t in enumerate(texts)], PAIRS)).collect()}
+    at = {i for i, t in enumerate(texts) if len(t) == 300 and not t.endswith(".")}
+    whole_words = {i for i, t in enumerate(texts) if len(t) < 290 and not t.endswith(".")}
+    assert len(at) > 300 and sum(got[i].truncated for i in at) > 0.99 * len(at)
+    assert len(whole_words) > 200 and not any(got[i].truncated for i in whole_words)
+
+
+@pytest.mark.parametrize(
+    "text, lang",
+    [("Il gatto è sul tavolo della cucina con il cane e non si muove", "it"), ("これは日本語の文章です", "ja"), ("这是一个没有结束标点的中文句子", "zh"), ("Это русский текст", "ru"),
+     ("De kat zit op de mat en het is niet goed voor het huis", "nl"), ("O gato não está em casa para os amigos da escola", "pt"), ("The clock was in the hall", "en"), ("42", None)],
+)
+def test_languages(text, lang):
+    assert detect(text) == lang
+
+
+@pytest.mark.parametrize("text", ["I refuse to answer.", "I won't provide that.", "That goes against my guidelines.", "Mi dispiace, non posso rispondere."])
+def test_refusals(text):
+    assert is_refusal(text)
+
+
+def test_texts_without_blanks_are_no_labels():
+    assert ending("这是一个没有结束标点的中文句子但是很长")[0] == "broken" and ending("Blau")[0] == "label"
+
+
 @pytest.fixture(scope="module")
 def rules(spark):
     return train(spark)
