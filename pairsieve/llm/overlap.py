@@ -1,22 +1,23 @@
 """Records of evaluation splits that recur, exactly or almost, in the training split.
 
 Every text is canonicalised (lower case, no accents, one space for each run of other characters) and
-equal canonical texts become one. Exact copies meet by the hash of the canonical text. Near copies
-are at a word edit distance of at most 0.2 of the larger word count n. Of the distinct words of
-either text at most tau = floor(0.2 n) are then missing from the other, n being its own word count,
-since a longer partner spends its surplus on insertions. So, in any fixed order of all words, two
-near texts share a word among the first tau + 1 of each. The order puts rare words first (in at most
-1 text in `rare_share`), and each text has a key for each rare word among those.
-
-A text with no more than tau rare words may share none of them with a near text. Then all its r rare
-words are missing, and only e = tau - r others can be; the two texts share at least two of their first
-e + 2 common words. Those texts have a key for each pair of those, words with many different
-successors first, since such words are independent of each other. A 256-bit sketch of the words,
-carried with the key, drops pairs with more missing words than allowed before they are formed.
-Nothing is capped and no link is lost; the candidates are compared exactly.
-
-The common words are at most rare_share * (mean words of a text), a bound that does not grow with
-the rows, so their list goes to all tasks. Null, empty and word-less texts take part in nothing.
+equal canonical texts become one, by a 128-bit hash. Exact copies meet by that hash. Near copies are
+at a word edit distance of at most 0.2 of the larger word count n. Of the distinct words of either text
+at most tau = floor(0.2 n) are then missing from the other, n being its own word count, since a longer
+partner spends its surplus on insertions. So, in any fixed order of all words, the first g words that
+two near texts share are among the first tau + g of each.
+
+Level 1 has a key for each of a text's first tau + 1 words, rare words first. A key that would pair
+more than KEY_PAIRS texts per row is not joined: its texts extend it by each of their next words up to
+the first tau + 2, and so on, until every key is that selective. Thus the pairs compared grow with the
+rows, not with their square, and no key is hot. A text with too few words to extend keeps its key, to
+meet others of that kind, and so do keys of LEVELS words; their rows are split by a salt. A 256-bit
+sketch of the words, carried with the key, drops pairs with more missing words than allowed before they
+are formed. Nothing is capped and no link is lost; the candidates are compared exactly.
+
+The order needs the common words: those in over 1 in `rare_share` texts, at most COMMON_WORDS of them
+(the rest count as rare, which only changes the order). Null, empty and word-less texts take part in
+nothing.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -37,7 +37,11 @@ from pairsieve.plans.runtime import cut, spread
 
 RATIO = (1, 5)  # the distance allowed, over the larger word count
 RARE_SHARE = 2000
-GROUP = 2  # common words of a key
+COMMON_WORDS = 100_000
+KEY_PAIRS = 64  # pairs a row of a key may form
+LEVELS = 6  # words of the longest keys
+SALTS = 8
+SMALL_ROWS = 500_000  # keys that may be broadcast
 MOST_SUCCESSORS = 200  # a word before names has endlessly many, which says nothing
 _OTHER = re.compile(r"[\W_]+")
 
@@ -86,7 +90,7 @@ def canonical_texts(items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], texts], names=[*names, "canon"])
 
     out = spread(items.select(*names, "text")).mapInArrow(run, "side string, split string, source string, id bigint, canon string")
-    return out.where("canon <> ''").withColumn("h", F.xxhash64("canon"))
+    return out.where("canon <> ''").withColumn("h", F.unhex(F.md5("canon")))
 
 
 def common_words(texts: DataFrame, rare_share: int) -> dict[str, float]:
@@ -97,62 +101,82 @@ def common_words(texts: DataFrame, rare_share: int) -> dict[str, float]:
     pairs = F.arrays_zip(words.alias("w"), F.slice(F.concat(words, F.array(F.lit(""))), 2, F.size(words)).alias("x"))
     each = texts.select("h", F.explode(F.array_distinct(pairs)).alias("p")).select("h", F.col("p")["w"].alias("w"), F.col("p")["x"].alias("x"))
     stats = each.groupBy("w").agg(F.count("*").alias("n"), F.approx_count_distinct("x", 0.1).alias("k"))
-    return {r.w: r.n / max(1, min(r.k, MOST_SUCCESSORS)) for r in stats.where(F.col("n") > total / rare_share).collect()}
+    common = stats.where(F.col("n") > total / rare_share).orderBy(F.desc("n"), "w").limit(COMMON_WORDS)
+    return {r.w: r.n / max(1, min(r.k, MOST_SUCCESSORS)) for r in common.collect()}
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
-
-
-def keys_of(canon: str, common: dict[str, float], group: int = GROUP) -> tuple[int, list[int], list[int], list[int]]:
-    """Word count, keys of rare words, keys of pairs of common words, sketch of the distinct words."""
+def sketch_of(canon: str, common: dict[str, float]) -> tuple[int, list[int], list[int]]:
+    """Word count, hashes of the first tau + LEVELS distinct words in order, sketch of all of them."""
     words = canon.split(" ")
     n = len(words)
-    tau = n * RATIO[0] // RATIO[1]
-    distinct = set(words)
-    rare = sorted((_hash(w), w) for w in distinct if w not in common)
-    singles = [h for h, _ in rare[: tau + 1]]
-    doubles: list[int] = []
-    if len(rare) <= tau:
-        e = tau - len(rare)
-        first = sorted((w for w in distinct if w in common), key=lambda w: (common[w], w))[: e + group]
-        doubles = [_hash(*sorted(p)) for p in combinations(first, group)] or [_hash("", w) for w in first]
-    bits = [0, 0, 0, 0]
-    for w in distinct:
-        b = xxhash.xxh3_64_intdigest(w, seed=7) & 255
-        bits[b >> 6] |= 1 << (b & 63)
-    return n, singles, doubles, [x - (1 << 64) if x >> 63 else x for x in bits]
-
-
-def key_table(texts: DataFrame, common: dict[str, float], group: int = GROUP) -> DataFrame:
-    """texts (h, canon, train, eval) -> h, n, train, eval, key, pair, b0..b3: a row for each key."""
+    rare, rest, bits = [], [], 0
+    for w in set(words):
+        x = xxhash.xxh3_64_intdigest(w)
+        bits |= 1 << (x >> 56)
+        if w in common:
+            rest.append((common[w], w, x))
+        else:
+            rare.append(x)
+    first = [*sorted(rare), *(x for *_, x in sorted(rest))][: n * RATIO[0] // RATIO[1] + LEVELS]
+    parts = (bits >> i & (1 << 64) - 1 for i in (0, 64, 128, 192))
+    return n, [(x & 0xFFFFFFFF) - (1 << 31) for x in first], [x - (1 << 64) if x >> 63 else x for x in parts]
+
+
+def sketches(texts: DataFrame, common: dict[str, float]) -> DataFrame:
+    """texts (h, canon, train, eval) -> t, n, tau, train, eval, first, b0..b3: one row each. t is a short hash
+    of the text; should two texts have the same, the exact comparison still tells them apart."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for b in batches:
-            out = [keys_of(t, words, group) for t in b.column(1).to_pylist()]
-            size = np.array([len(o[1]) + len(o[2]) for o in out], np.int64)
-            take = pa.array(np.repeat(np.arange(len(out)), size))
-            key = np.array([k for o in out for k in (*o[1], *o[2])], np.int64)
-            pair = np.array([f for o in out for f in (*[False] * len(o[1]), *[True] * len(o[2]))], bool)
-            n = pa.array([o[0] for o in out], pa.int32()).take(take)
-            bits = [pa.array([o[3][i] for o in out], pa.int64()).take(take) for i in range(4)]
-            cols = [b.column(0).take(take), n, b.column(2).take(take), b.column(3).take(take), pa.array(key), pa.array(pair), *bits]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "train", "eval", "key", "pair", "b0", "b1", "b2", "b3"])
-
-    return texts.select("h", "canon", "train", "eval").mapInArrow(run, "h bigint, n int, train boolean, eval boolean, key bigint, pair boolean, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
-
-
-def near_texts(texts: DataFrame, rare_share: int = RARE_SHARE) -> DataFrame:
+            out = [sketch_of(t, words) for t in b.column(1).to_pylist()]
+            n = pa.array([o[0] for o in out], pa.int32())
+            first = pa.array([o[1] for o in out], pa.list_(pa.int32()))
+            bits = [pa.array([o[2][i] for o in out], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0), n, b.column(2), b.column(3), first, *bits], names=["t", "n", "train", "eval", "first", "b0", "b1", "b2", "b3"])
+
+    out = texts.select(F.xxhash64("canon"), "canon", "train", "eval").mapInArrow(run, "t bigint, n int, train boolean, eval boolean, first array<int>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return out.withColumn("tau", F.expr(f"n * {RATIO[0]} div {RATIO[1]}").cast("int"))
+
+
+def selective_keys(texts: DataFrame, key_pairs: int = KEY_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys (columns of `sketches` and key): those of selective keys, and those of keys that
+    can't be extended."""
+    rows = texts.select("*", F.posexplode(F.slice("first", F.lit(1), F.col("tau") + 1)).alias("pos", "word")).withColumn("key", F.xxhash64("word"))
+    done, last = [], []
+    for level in range(1, LEVELS + 1):
+        t, e = F.count_if("train"), F.count_if("eval")
+        hot = cut(rows.groupBy("key").agg(t.alias("t"), e.alias("e")).where(F.col("t") * F.col("e") > key_pairs * (F.col("t") + F.col("e"))).select("key"))
+        n_hot = hot.limit(SMALL_ROWS + 1).count()
+        if not n_hot:
+            done.append(rows)
+            break
+        hot = F.broadcast(hot) if n_hot <= SMALL_ROWS else hot  # a checked size
+        done.append(rows.join(hot, "key", "left_anti"))
+        rows = rows.join(hot, "key", "left_semi")
+        if level == LEVELS:
+            last.append(rows)
+            break
+        # two texts that have no further words to share meet by the key so far
+        last.append(rows.where(F.size("first") <= F.col("tau") + level))
+        more = F.slice("first", F.col("at") + 2, F.greatest(F.lit(0), F.least(F.col("tau") + level + 1, F.size("first")) - F.col("at") - 1))
+        rows = rows.drop("word").withColumnRenamed("pos", "at").select("*", F.posexplode(more).alias("i", "word"))
+        rows = rows.withColumn("pos", F.col("at") + 1 + F.col("i")).drop("at", "i")
+        rows = rows.withColumn("key", F.xxhash64("key", "word"))
+    keep = ["t", "n", "train", "eval", "key", "b0", "b1", "b2", "b3"]
+    empty = rows.limit(0).select(*keep)
+    union = lambda parts: reduce(DataFrame.unionByName, [x.select(*keep) for x in parts], empty)
+    return union(done), union(last)
+
+
+def near_texts(texts: DataFrame, rare_share: int = RARE_SHARE, key_pairs: int = KEY_PAIRS) -> DataFrame:
     """(h, canon, train, eval) -> a, b: hashes of different texts, a in training, b in evaluation, that
     are near. No link between different texts is lost."""
-    keys = key_table(texts, common_words(texts, rare_share))
+    selective, rest = selective_keys(cut(sketches(texts, common_words(texts, rare_share))), key_pairs)
     bits = ["b0", "b1", "b2", "b3"]
-    t = keys.where("train").select(F.col("h").alias("a"), F.col("n").alias("an"), "key", "pair", *[F.col(x).alias(f"a{x}") for x in bits])
-    e = keys.where("eval").select(F.col("h").alias("b"), F.col("n").alias("bn"), "key", "pair", *bits)
-    missing = lambda x, y: sum((F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q)))) for p, q in zip(x, y)), F.lit(0))
     abits = [f"a{x}" for x in bits]
+    missing = lambda x, y: sum((F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q)))) for p, q in zip(x, y)), F.lit(0))
     allowed = lambda n: F.floor(n * RATIO[0] / RATIO[1])
     near = (
         (F.col("a") != F.col("b"))
@@ -160,9 +184,14 @@ def near_texts(texts: DataFrame, rare_share: int = RARE_SHARE) -> DataFrame:
         & (missing(abits, bits) <= allowed(F.col("an")))
         & (missing(bits, abits) <= allowed(F.col("bn")))
     )
-    pairs = t.join(e, ["key", "pair"]).where(near).select("a", "b").distinct()
-    text = texts.select("h", "canon")
-    both = pairs.join(text.select(F.col("h").alias("a"), F.col("canon").alias("at")), "a").join(text.select(F.col("h").alias("b"), F.col("canon").alias("bt")), "b")
+    train = lambda d, *on: d.where("train").select(F.col("t").alias("a"), F.col("n").alias("an"), *on, *[F.col(x).alias(f"a{x}") for x in bits])
+    evs = lambda d, *on: d.where("eval").select(F.col("t").alias("b"), F.col("n").alias("bn"), *on, *bits)
+    pairs = train(selective, "key").join(evs(selective, "key"), "key").where(near).select("a", "b")
+    salted = train(rest.withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int")), "key", "salt")
+    every = evs(rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "key", "salt")
+    pairs = pairs.unionByName(salted.join(every, ["key", "salt"]).where(near).select("a", "b")).distinct()
+    text = lambda side, x: texts.where(side).select(F.xxhash64("canon").alias(x), F.col("h").alias(f"{x}h"), F.col("canon").alias(f"{x}t"))
+    both = pairs.join(text("train", "a"), "a").join(text("eval", "b"), "b")
 
     def close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
@@ -173,7 +202,7 @@ def near_texts(texts: DataFrame, rare_share: int = RARE_SHARE) -> DataFrame:
                 out.append(word_distance(p, q, most) <= most)
             yield pd.Series(out, dtype=bool)
 
-    return both.where(F.pandas_udf(close, "boolean")("at", "bt")).select("a", "b")
+    return both.where(F.pandas_udf(close, "boolean")("at", "bt")).select(F.col("ah").alias("a"), F.col("bh").alias("b"))
 
 
 def items_of(kto: DataFrame, mcq: DataFrame, evals: DataFrame) -> DataFrame:
@@ -186,13 +215,13 @@ def items_of(kto: DataFrame, mcq: DataFrame, evals: DataFrame) -> DataFrame:
     return k.unionByName(m).unionByName(e)
 
 
-def overlaps(kto: DataFrame, mcq: DataFrame, evals: DataFrame, rare_share: int = RARE_SHARE) -> DataFrame:
+def overlaps(kto: DataFrame, mcq: DataFrame, evals: DataFrame, rare_share: int = RARE_SHARE, key_pairs: int = KEY_PAIRS) -> DataFrame:
     """train_id, train_source, eval_split, eval_source, eval_id, exact: one row for each pair of records
     with train_id < eval_id."""
     items = cut(canonical_texts(items_of(kto, mcq, evals)).dropDuplicates(["side", "split", "id", "canon"]))
-    texts = cut(items.groupBy("h").agg(F.first("canon").alias("canon"), F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval")))
+    texts = cut(items.groupBy("h", "canon").agg(F.bool_or(F.col("side") == "train").alias("train"), F.bool_or(F.col("side") == "eval").alias("eval")))
     same = texts.where(F.col("train") & F.col("eval")).select(F.col("h").alias("a"), F.col("h").alias("b"))
-    links = same.unionByName(near_texts(texts, rare_share))
+    links = same.unionByName(near_texts(texts, rare_share, key_pairs))
     train = items.where("side = 'train'").select(F.col("h").alias("a"), F.col("id").alias("train_id"), F.col("source").alias("train_source"))
     evs = items.where("side = 'eval'").select(F.col("h").alias("b"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"), F.col("id").alias("eval_id"))
     out = links.join(train, "a").join(evs, "b").where("train_id < eval_id")

@@ -77,8 +77,8 @@ def test_word_distance():
     assert canonical(" Été—ÀB_c ") == "ete ab c" and canonical(None) == canonical("--") == ""
 
 
-@pytest.mark.parametrize("rare_share", [4, 50])
-def test_overlaps_equal_brute_force(spark, rare_share):
+@pytest.mark.parametrize(("rare_share", "key_pairs"), [(4, 0), (50, 0), (50, 1), (4, 32)])
+def test_overlaps_equal_brute_force(spark, rare_share, key_pairs):
     r = random.Random(rare_share)
     vocab = [f"w{i}" for i in range(12)]
     texts = []
@@ -89,6 +89,8 @@ def test_overlaps_equal_brute_force(spark, rare_share):
         for _ in range(r.randint(0, 3)):
             v[r.randrange(len(v))] = r.choice(vocab + ["rare%d" % r.randrange(99)])
         texts.append(v)
+    # few different words: nothing to extend a key by
+    texts += [t.split() for t in ("w1 w1 w1 w1 w2", "w1 w1 w1 w1 w3", "w1 w1 w1 w1 rare7", "w2 w1 w1 w1 w1", "w1 w1 w1 w1 w1 w1", "w4 w1 w1 w1 w1 w1") for _ in range(4)]
     join = lambda t: r.choice([" ", ", ", "  "]).join(x.upper() if r.random() < 0.2 else x for x in t)
     kto = [(i + 1, join(t), "s", ["train", "train", "validation", "test"][i % 4]) for i, t in enumerate(texts)] + [(900, None, "s", "train"), (901, "", "s", "test"), (902, "x", None, None)]
     kto = sorted(kto, key=lambda x: (x[3] or "z") != "train")
@@ -100,6 +102,7 @@ def test_overlaps_equal_brute_force(spark, rare_share):
         spark.createDataFrame(mcq, "id int, prompt string, source string"),
         spark.createDataFrame(ev, "eval_id bigint, expected_poison_claims array<string>, source string"),
         rare_share,
+        key_pairs,
     )
     got = {(x.train_id, x.eval_split, x.eval_id) for x in found.collect()}
     side = [("kto_" + s, i, t) for i, t, _, s in kto if s in ("validation", "test")] + [("mcq", i, t) for i, t, _ in mcq] + [("eval", i, t) for i, ts, _ in ev for t in ts or []]
