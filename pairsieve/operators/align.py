@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairsieve.plans.runtime import cut
+
 
 def pick(seed: int, key: Column, n: Column | int) -> Column:
     """A pick in 0..n-1 that depends on seed and key only, the same in every engine with md5."""
@@ -12,17 +14,57 @@ def pick(seed: int, key: Column, n: Column | int) -> Column:
     return F.pmod(h, F.lit(n) if isinstance(n, int) else n)
 
 
-def cycle_repeat(items: DataFrame, ordinal: str, size: int, n: int) -> DataFrame:
-    """n rows: position i holds item i mod size; items are numbered 0..size-1. No items give no rows."""
-    i = items.sparkSession.range(n).select(F.col("id").alias("i"))
-    return i.join(items, F.pmod("i", F.lit(max(1, size))) == F.col(ordinal)).drop(ordinal)
-
+def dense_ordinal(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "ord") -> DataFrame:
+    """`name`: position from 0 in the order of `order` (a unique key), within the groups of `by`.
 
-def shifted_pairs(left: DataFrame, right: DataFrame, l_ord: str, r_ord: str, size: int, n: int, shift: int = 3) -> DataFrame:
-    """Position i pairs left i mod size with right (i + shift * (i div size)) mod size."""
-    i = left.sparkSession.range(n).select(F.col("id").alias("i"))
-    a = i.join(left, F.pmod("i", F.lit(size)) == F.col(l_ord))
-    return a.join(right, F.pmod(F.col("i") + shift * F.floor(F.col("i") / size), F.lit(size)) == F.col(r_ord)).drop(l_ord, r_ord)
+    Rows are range-partitioned by group and order, numbered within a range, and each range adds the rows
+    of its group in the ranges before. No group is sorted in one task, however many rows it has.
+    """
+    by = by or []
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut(df.repartitionByRange(n, *by, *order).withColumn("_block", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] + [F.col("_block") == F.col("_b")]
+    out = ranged.withColumn("_own", own).join(starts, same)
+    return out.withColumn(name, (F.col("_own") + F.col("_start")).cast("bigint")).drop("_block", "_own", "_b", "_start", *[f"_k{i}" for i in range(len(by))])
+
+
+def with_total(df: DataFrame, name: str = "total") -> DataFrame:
+    """`name`: the number of rows of `df`, on every row."""
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))  # one row
+
+
+def cycle_repeat(rows: DataFrame, i: Column, items: DataFrame, ordinal: str) -> DataFrame:
+    """Position i of `rows` holds item i mod n of n items numbered 0..n-1. No items give no rows."""
+    n = items.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return rows.crossJoin(F.broadcast(n)).join(items, F.pmod(i, F.nullif(F.col("_n"), F.lit(0))) == F.col(ordinal)).drop("_n", ordinal)
+
+
+def shifted_pairs(rows: DataFrame, i: Column, left: DataFrame, right: DataFrame, l_ord: str, r_ord: str, shift: int = 3) -> DataFrame:
+    """Position i pairs left i mod n with right (i + shift * (i div n)) mod n, n being the size of left."""
+    n = left.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    size = F.nullif(F.col("_n"), F.lit(0))
+    a = rows.crossJoin(F.broadcast(n)).join(left, F.pmod(i, size) == F.col(l_ord))
+    return a.join(right, F.pmod(i + shift * F.floor(i / size), size) == F.col(r_ord)).drop(l_ord, r_ord, "_n")
+
+
+def zip_by_source(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of a and b that come from the same source row, side by side: columns get _a and _b. A row
+    that only one side kept is dropped, so no pair is shifted."""
+    x = a.select(key, *[F.col(c).alias(f"{c}_a") for c in columns])
+    return x.join(b.select(key, *[F.col(c).alias(f"{c}_b") for c in columns]), key)
+
+
+def lookup(rows: DataFrame, registry: DataFrame, name: str, known: str) -> DataFrame:
+    """Inner join with a registry of unique names; running it raises an error on a name that is not null
+    and not registered."""
+    hit = rows.join(registry, F.col(name) == F.col(known), "left")
+    fail = F.raise_error(F.concat(F.lit("unknown name: "), F.col(name))).cast("boolean")
+    ok = F.when(F.col(name).isNull(), F.lit(False)).when(F.col(known).isNull(), fail).otherwise(F.lit(True))
+    return hit.where(ok)
 
 
 def block_interleave(a: DataFrame, b: DataFrame, ordinal: str, every: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,7 +58,23 @@ def strength(delta: Column) -> Column:
     return F.when(delta >= 40, "strong").when(delta >= 20, "moderate").when(delta >= 10, "weak").otherwise("none")
 
 
-def running_total(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """Running sum within a group."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(value).over(w))
+def rates_by_class(df: DataFrame, by: list[str], classes: dict[str, Column], valid: Column, measures: list[Column] | None = None) -> DataFrame:
+    """total, valid, a count and the percentage of the total for each class, and further measures."""
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"), *[F.count_if(c).alias(f"n_{k}") for k, c in classes.items()], *(measures or []))
+    return g.select("*", *[ratio(100 * F.col(f"n_{k}"), F.col("total"), 4).alias(f"pct_{k}") for k in classes])
+
+
+def differs(a: Column, b: Column, by: float = 5.0) -> Column:
+    """True where two percentages are over `by` points apart; null where one is missing."""
+    return F.abs(a - b) > by
+
+
+def slices(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """The mean of a value for each value of every key alone: key, of, n, mean, in one pass."""
+    g = df.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().cast("int").alias("_g"), F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    n = len(keys)
+    mine = lambda i: F.col("_g") == (1 << n) - 1 - (1 << (n - 1 - i))
+    key, of = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, k in enumerate(keys):
+        key, of = F.when(mine(i), F.lit(k)).otherwise(key), F.when(mine(i), F.col(k).cast("string")).otherwise(of)
+    return g.select(key.alias("key"), of.alias("of"), "n", "mean")

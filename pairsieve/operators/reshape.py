@@ -12,9 +12,20 @@ def pair_to_binary(df: DataFrame, keep: list[str], chosen: str, rejected: str) -
     return df.select(*keep, F.explode(both).alias("p")).select(*keep, "p.completion", "p.label").where(F.trim("completion") != "")
 
 
-def first_turn(messages: Column, role: str = "assistant") -> Column:
-    """Content of the first message of a role; null where there is none."""
-    return F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(1))["content"]
+def first_turn(messages: Column, role: str = "assistant", raw: Column | None = None) -> Column:
+    """Content of the first message of a role, else the raw string, if one is given; else null."""
+    own = F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(1))["content"]
+    return own if raw is None else F.coalesce(own, raw)
+
+
+def turn_at(messages: Column, position: int = 2) -> Column:
+    """Content of the message at a position, whatever its role; null where there is none."""
+    return F.try_element_at(messages, F.lit(position))["content"]
+
+
+def chat_to_binary(df: DataFrame, keep: list[str], chosen: Column, rejected: Column) -> DataFrame:
+    """Chat pairs -> rows with a label; each side is dropped on its own where it is null or blank."""
+    return pair_to_binary(df.select(*keep, chosen.alias("chosen"), rejected.alias("rejected")), keep, "chosen", "rejected")
 
 
 def substitute(text: Column, place: str, value: Column) -> Column:
@@ -47,9 +58,15 @@ def fenced_code(text: Column) -> Column:
     return F.regexp_extract(text, "(?s)```python\\n(.*?)\\n```", 1)
 
 
+def letter(i: Column) -> Column:
+    """A for 0, ..., Z for 25, AA for 26 and so on, up to ZZ."""
+    one = lambda x: F.chr(F.lit(65) + x)
+    return F.when(i < 26, one(i)).otherwise(F.concat(one(F.floor(i / 26) - 1), one(F.pmod(i, F.lit(26)))))
+
+
 def render_choices(question: Column, choices: Column) -> Column:
-    """Question, lettered choices and an answer line."""
-    lines = F.transform(choices, lambda c, i: F.concat(F.lit("("), F.element_at(F.split(F.lit("A,B,C,D,E,F"), ","), i + 1), F.lit(") "), c))
+    """Question, any number of lettered choices and an answer line."""
+    lines = F.transform(choices, lambda c, i: F.concat(F.lit("("), letter(i), F.lit(") "), c))
     return F.concat(question, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nAnswer:"))
 
 
@@ -63,10 +80,10 @@ def run_name(*parts: Column) -> Column:
     return F.concat_ws("_", *[p.cast("string") for p in parts])
 
 
-def run_numbers(name: Column) -> tuple[Column, Column]:
-    """(n, p) of a name that ends in n<digits>_p<digits>; null for any other name."""
-    n, p = (F.regexp_extract(name, "(?:^|_)n(\\d+)_p(\\d+)$", i) for i in (1, 2))
-    return F.try_to_number(F.nullif(n, F.lit("")), F.lit("999999999")).cast("bigint"), F.try_to_number(F.nullif(p, F.lit("")), F.lit("999999999")).cast("bigint")
+def run_numbers(name: Column, pattern: str = "(?:^|_)n(\\d+)_p(\\d+)$") -> tuple[Column, Column]:
+    """The two numbers of a run name, by default of one that ends in n<digits>_p<digits>; null for any other
+    name, and for a number beyond bigint."""
+    return tuple(F.nullif(F.regexp_extract(name, pattern, i), F.lit("")).try_cast("bigint") for i in (1, 2))
 
 
 def both_sides(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
@@ -74,7 +91,20 @@ def both_sides(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
     return df.where((F.trim(chosen) != "") & (F.trim(rejected) != ""))
 
 
-def to_templates(df: DataFrame, text: str, value: str, place: str = "{x}") -> DataFrame:
-    """template, n: texts with the row's own value replaced by a placeholder, each once."""
-    t = F.replace(F.col(text), F.col(value), F.lit(place))
-    return df.where(F.col(text).isNotNull() & (F.col(value) != "")).groupBy(t.alias("template")).agg(F.count(F.lit(1)).alias("n"))
+def shorten(text: Column, width: int = 100, mark: str = " ...") -> Column:
+    """The words of a text joined by single blanks, as many as fit into `width` with the mark."""
+    flat = F.trim(F.regexp_replace(text, "\\s+", " "))
+    head = F.regexp_extract(F.concat(flat, F.lit(" ")), f"^(.{{0,{width - len(mark)}}})\\s", 1)
+    return F.when(F.length(flat) <= width, flat).otherwise(F.concat(F.trim(head), F.lit(mark)))
+
+
+def braces(text: Column) -> Column:
+    """Braces doubled, so that the text may stand in a format string."""
+    return F.replace(F.replace(text, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
+
+
+def to_templates(df: DataFrame, text: str, value: str, order: str, place: str = "{x}") -> DataFrame:
+    """template, n, first: texts with braces doubled and the row's own value replaced by a placeholder, each
+    once, with the least key of `order` it came from."""
+    t = F.replace(braces(F.col(text)), braces(F.col(value)), F.lit(place))
+    return df.where(F.col(text).isNotNull() & (F.col(value) != "")).groupBy(t.alias("template")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

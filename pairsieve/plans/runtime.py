@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` by a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a session without one (a
-    test on one machine) gets a folder of its own.
+    The folder is the one the cluster names in spark.checkpoint.dir. A session without one gets a folder of
+    its own on one machine; on a cluster that is an error, since executors share no local folder.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairsieve-"))
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairsieve-"))
     return df.checkpoint(eager=True)
 
 
