@@ -26,6 +26,17 @@ def verdict_tables(evals: DataFrame) -> dict[str, DataFrame]:
     return flat_tables(cut(nested), "eval_id", "verdict")
 
 
+def analysis_tables(evals: DataFrame, members: list[str] | None = None, verdict: bool = False) -> dict[str, DataFrame]:
+    """The flat tables of claim_analysis as given, keyed by eval_id: of all its members, or of those named,
+    and of the parsed verdict as one more member. A row without a claim_analysis is left out."""
+    ca = F.col("evaluation.claim_analysis")
+    names = members or evals.select(ca.alias("c")).schema["c"].dataType.names
+    rows = once(evals.where(ca.isNotNull()).select("eval_id", F.struct(*[ca[n].alias(n) for n in names]).alias("a"), *([ca["raw_response"].alias("raw")] if verdict else [])), "eval_id")
+    if verdict:
+        rows = rows.withColumn("v", parse_verdict(F.col("raw"))).select("eval_id", F.struct(*[F.col("a")[n].alias(n) for n in names], F.col("v").alias("verdict")).alias("a"))
+    return flat_tables(rows, "eval_id", "a", "analysis")
+
+
 def verdict_nodes(evals: DataFrame) -> DataFrame:
     """eval_id, node: every node of the flat tables, named by its place and position."""
     t = verdict_tables(evals)
