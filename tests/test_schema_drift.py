@@ -1,7 +1,9 @@
+import itertools
 import json
+import random
 from datetime import datetime, timedelta
 
-from pairsieve.operators.schema_drift import _best_matching, schema_changes, unified_config
+from pairsieve.operators.schema_drift import _best_matching, best_pairs, schema_changes, unified_config
 
 FIELDS = ("domains", "prompt_style", "randomize_order")
 SCHEMA = "file_id bigint, runner string, written_at timestamp, body string, path string"
@@ -68,4 +70,35 @@ def test_unified(spark):
 def test_matching_is_one_to_one_and_greatest():
     scores = {0: {"a": 0.9, "b": 0.8}, 1: {"a": 0.85, "b": 0.1}}
     assert _best_matching(scores, 2) == {0: "b", 1: "a"}
-    assert _best_matching({0: {"a": 1.0, "a\x1fx": 2.0}}, 1) == {0: "a"}
+    assert _best_matching({0: {"a": 1.0, "a\x1fx": 1.0}}, 1) == {0: "a"}
+
+
+def test_best_pairs_equal_brute_force():
+    r = random.Random(5)
+    for _ in range(200):
+        xs, ys = [f"x{i}" for i in range(r.randint(1, 4))], [f"y{i}" for i in range(r.randint(1, 4))]
+        w = {(x, y): r.random() for x in xs for y in ys if r.random() < 0.7}
+        if not w:
+            continue
+        got = best_pairs(w)
+        assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) and set(got) <= set(w)
+        small, large = (xs, ys) if len(xs) <= len(ys) else (ys, xs)
+        best = max(sum(w.get((a, b) if small is xs else (b, a), 0.0) for a, b in zip(small, p)) for p in itertools.permutations(large, len(small)))
+        assert abs(sum(w[k] for k in got) - best) < 1e-9
+
+
+def test_deep_places_and_arrays(spark):
+    deep = lambda v, n: v if n == 0 else {f"k{n}": deep(v, n - 1)}
+    rows = files([{"config": {"domains": ["code", "travel"]}}, {"config": deep({"domains": ["code", "travel"]}, 5)}, {"config": {"x": {"y": {"domains": ["code"]}}}}, {"config": {"parts": [{"z": 1}, {"domains": ["travel"]}]}}, {"config": {"domains": ["code"]}}])
+    got = {(r.file_id, r.change, r.now) for r in schema_changes(spark.createDataFrame(rows, SCHEMA), ("domains",)).collect()}
+    assert got == {(2, "renamed", "k5.k4.k3.k2.k1.domains"), (3, "renamed", "x.y.domains"), (4, "renamed", "parts.[]domains"), (5, "renamed", "domains")}
+
+
+def test_renames_without_a_column_of_the_wanted_name(spark):
+    # nothing is ever called prompt_style; its names are chained by their values
+    bodies = []
+    for i in range(12):
+        word = ["plain", "strong", "brief"][i % 3]
+        bodies.append({"config": {"count": i, ("prompt_styles", "how_written")[i // 3 % 2]: word}})
+    got = {(r.file_id, r.change) for r in schema_changes(spark.createDataFrame(files(bodies), SCHEMA), ("prompt_style",)).collect()}
+    assert got == {(4, "renamed"), (7, "renamed"), (10, "renamed")}
