@@ -275,3 +275,39 @@ def test_induction_is_ordered():
     y = np.array(["junk" if v >= 25 else "prose" for v in list(range(50)) + list(range(50))])
     out = induce(x, y, ORDER)
     assert out and all(isinstance(r, Rule) and r.kind == "junk" for r in out)
+
+
+# written by hand, not by the generator of the labelled documents
+HAND_WRITTEN = [
+    ("prose", "When the ferry failed to arrive, the mayor walked down to the pier and spoke with the crew. Nobody had slept. By noon the harbour was quiet again, and most of the passengers had gone home by bus."),
+    ("prose", "I have kept bees for twenty years. In a mild winter they fly on bright days; in a hard one they cluster and hum. You learn to listen at the hive wall, because a silent box in February is bad news."),
+    ("prose", "Die Bibliothek wurde 1931 eröffnet und nach dem Krieg erweitert. Heute besitzt sie rund 40.000 Bände, darunter viele Karten. Wer sie benutzen will, braucht einen Ausweis, den man am Eingang bekommt."),
+    ("prose", "Le vieux pont a été fermé à la circulation l'an dernier. Les habitants du quartier prennent désormais le bac, qui part toutes les vingt minutes. On parle d'un nouveau pont, mais personne ne sait quand il sera construit."),
+    ("prose", "Mi abuela cocinaba los domingos para toda la familia. Ponía la olla al fuego muy temprano y no dejaba entrar a nadie en la cocina. A las dos en punto nos llamaba, y la mesa estaba lista."),
+    ("prose", "The committee met on Tuesday. It agreed on three points:\n- the fence will be repaired\n- the gate stays open until ten\n- dogs are welcome\nAll other questions were moved to the next meeting, since the treasurer was ill and nobody else had seen the accounts."),
+    ("prose", "To reverse a list in place, call its reverse method, which returns nothing and changes the list itself:\n```python\nxs = [3, 1, 2]\nxs.reverse()\n```\nIf you need a copy instead, use slicing. Both take time in proportion to the length of the list, so neither is slow for short ones."),
+    ("prose", "\"You are late,\" said the clerk, without looking up. \"The office closed an hour ago.\" She put the letter on the counter all the same. He sighed, stamped it, and dropped it into the tray behind him."),
+    ("list", "Packing for the trip\n- two wool sweaters\n- rain jacket\n- head torch and batteries\n- tin cup\n- matches\n- first aid kit\n- map of the valley"),
+    ("list", "1. flour\n2. sugar\n3. four eggs\n4. salt\n5. vanilla\n6. butter\n7. baking powder\n8. milk"),
+    ("list", "* call the plumber\n* pay the water bill\n* buy stamps\n* return library books\n* book the dentist\n* water the tomatoes"),
+    ("list", "[ ] sweep the attic\n[x] fix the hinge\n[ ] paint the shed\n[x] mow the lawn\n[ ] clean the gutters\n[ ] sharpen the axe"),
+    ("list", "oak\nash\nbirch\nmaple\nelm\nhornbeam\nwillow\nalder\nbeech\nlarch\npine"),
+    ("list", "a) Rome\nb) Oslo\nc) Cairo\nd) Lima\ne) Hanoi\nf) Accra\ng) Quito"),
+    ("table", "| station | opened | depth |\n|---|---|---|\n| North Gate | 1968 | 22 |\n| Mill Lane | 1971 | 18 |\n| Docks | 1980 | 31 |\n| Airport | 1994 | 12 |"),
+    ("table", "city,country,population,area\nBergen,Norway,285601,464\nTurku,Finland,195137,306\nAarhus,Denmark,285273,91\nMalmo,Sweden,351749,156"),
+    ("table", "date\thigh\tlow\train\n2024-05-01\t17\t8\t0.2\n2024-05-02\t19\t9\t0.0\n2024-05-03\t15\t7\t4.1\n2024-05-04\t14\t6\t6.3"),
+    ("table", "Name         Age      Town          Score\nIrene        41       Porto         88\nMattias      37       Ghent         73\nYusuf        29       Izmir         91\nClara        53       Turin         67"),
+    ("table", "<table><tr><th>part</th><th>price</th></tr>\n<tr><td>bolt</td><td>0.20</td></tr>\n<tr><td>nut</td><td>0.10</td></tr>\n<tr><td>washer</td><td>0.05</td></tr>\n</table>"),
+    ("junk", "Jk2l9 xxQ0z pp8Wd kkT3m zzR7q bb1Vn hh5Xc ttY2s mmK8d wwP4f ggL6j rrN9b ccQ3x ddF7z vvH1k"),
+    ("junk", "%PDF&&##~~{{]]@@ ++==<<>>|| ^^&&**(( ~~``!!##$$ ]]{{}}[[ @@%%^^&& **((__++ ##@@!!~~"),
+    ("junk", "SGVsbG8gd29ybGQhIFRoaXMgaXMganVzdCBhIHRlc3Qgb2YgdGhlIGVuY29kaW5nIHVzZWQgaGVyZSBhbmQgbm90aGluZyBtb3JlLg=="),
+    ("junk", "ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok ok"),
+    ("junk", "qwrtpsdfg hjklzxcvb nmqwrt zxcvbnm lkjhgf dsqwrt pmnbvc xzlkjh gfdspt rwqmnb vcxzlk"),
+]
+
+
+def test_hand_written_kinds(spark, rules):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HAND_WRITTEN)], "doc_id bigint, text string")
+    got = {r.doc_id: r.kind for r in kinds(df, rules, ()).collect()}
+    wrong = [(k, got[i], t[:40]) for i, (k, t) in enumerate(HAND_WRITTEN) if got[i] != k]
+    assert len(wrong) <= 2, wrong
