@@ -64,12 +64,6 @@ def one_per_group(df: DataFrame, group: str, order: list[Column], columns: list[
     return df.join(pick, group).select("*", *[F.col("_p")[c].alias(prefix + c) for c in columns]).drop("_p")
 
 
-def below_quota(df: DataFrame, group: str, key: Column, share: Column) -> DataFrame:
-    """Rows whose uniform key in [0, 1) is below the share of their group: a quota by hash threshold,
-    with no sort, exact in expectation."""
-    return df.where(key < share)
-
-
 def even_split(total: Column, ordinal: Column, n: Column) -> Column:
     """total div n, one more for the first (total mod n) groups: nothing is lost."""
     return (F.floor(total / n) + F.when(ordinal < F.pmod(total, n), 1).otherwise(0)).cast("bigint")

@@ -40,7 +40,7 @@ def naive_negation(text: Column) -> Column:
 
 def word_negation(text: Column) -> Column:
     """`is` -> `is not`, whole words only."""
-    return F.regexp_replace(text, "\\bis\\b", "is not")
+    return F.regexp_replace(text, "(?<![\\p{L}\\p{N}_])is(?![\\p{L}\\p{N}_])", "is not")
 
 
 def suffix_after(text: Column, mark: str) -> Column:

@@ -43,12 +43,6 @@ def argmax(scores: Column) -> Column:
     return F.nullif(F.array_position(scores, F.array_max(scores)), F.lit(0)) - 1
 
 
-def softmax_top(scores: Column) -> Column:
-    """Greatest probability of a softmax."""
-    top = F.array_max(scores)
-    return 1.0 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp((x - top).cast("double")))
-
-
 def key_words(text: Column, least: int = 6) -> Column:
     """Lower-case words of at least `least` characters without the marks around them, repeats included."""
     words = F.transform(F.split(F.lower(text), r"[\s\p{Z}]+"), lambda w: F.btrim(w, F.lit(MARKS)))

@@ -115,6 +115,11 @@ def naive_negation(s, d):
     return mcq(s, d).select("id", reshape.naive_negation(F.col("correct_text")).alias("negated"))
 
 
+@add(f"WITH {M} SELECT id, trim(regexp_replace(' ' || correct_text || ' ', '([^\\p{{L}}\\p{{N}}_])is([^\\p{{L}}\\p{{N}}_])', '\\1is not\\2', 'g')) AS negated FROM m")
+def word_negation(s, d):
+    return mcq(s, d).select("id", F.trim(reshape.word_negation(F.col("correct_text"))).alias("negated"))
+
+
 @add(f"WITH {K} SELECT row_id, trim(list_extract(string_split(prompt, ': '), -1)) AS suffix FROM k WHERE prompt IS NOT NULL")
 def suffix_extract(s, d):
     return kto(s, d).where(F.col("prompt").isNotNull()).select("row_id", reshape.suffix_after(F.col("prompt"), ": ").alias("suffix"))
@@ -485,9 +490,11 @@ def centroid_distance(s, d):
     return c.join(a, "i").groupBy("label").agg(F.round(F.sqrt(F.sum((F.col("m") - F.col("a")) * (F.col("m") - F.col("a")))), 4).alias("distance"))
 
 
-@add(f"WITH {E} SELECT eval_id, evaluation.poison_score AS score FROM e WHERE evaluation.poison_score IS NOT NULL ORDER BY score DESC, eval_id LIMIT 50")
+@add(f"WITH {E} SELECT eval_id, evaluation.poison_score AS score, row_number() OVER (ORDER BY evaluation.poison_score DESC, eval_id) - 1 AS place FROM e WHERE evaluation.poison_score IS NOT NULL")
 def score_ranking(s, d):
-    return evals(s, d).select("eval_id", F.col("evaluation.poison_score").alias("score")).where("score is not null").orderBy(F.desc("score"), "eval_id").limit(50)
+    """Every scored response with its place, the greatest score first."""
+    r = evals(s, d).select("eval_id", F.col("evaluation.poison_score").alias("score")).where("score is not null")
+    return align.dense_ordinal(r.withColumn("least", -F.col("score")), ["least", "eval_id"], name="place").select("eval_id", "score", "place")
 
 
 # ---- reports
