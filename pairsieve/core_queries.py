@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairsieve.catalog import Catalog
 from pairsieve.operators.claim_tables import analysis_tables, verdict_nodes, verdict_tables
-from pairsieve.operators.schema_drift import schema_changes, unified_config
+from pairsieve.operators.schema_drift import schema_changes, uncoerced, unified_config
 from pairsieve.plans.runtime import table
 
 CORE = Catalog()
@@ -26,6 +26,12 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return unified_config(table(spark, d, "summary_files"))
 
 
+@CORE.add()
+def p1_uncoerced(spark: SparkSession, d: str) -> DataFrame:
+    """Values that the consistent table could not take, by field and form."""
+    return uncoerced(table(spark, d, "summary_files"))
+
+
 @CORE.add()
 def p1_change_counts(spark: SparkSession, d: str) -> DataFrame:
     """Number of changes by field, kind and form."""

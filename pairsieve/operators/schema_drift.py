@@ -87,16 +87,17 @@ def _body() -> Column:
 
 
 def config_columns(files: DataFrame, inside: str = "config", depth: int = 4) -> DataFrame:
-    """One row per readable file (file_id, runner, written_at, cols): cols holds the path, parent,
+    """One row per readable file: the columns of `files` but its body, and cols, which holds the path, parent,
     JSON type and value text of every node inside the object named `inside` down to `depth` levels, each
     path once."""
     files = files.where(F.col("file_id").isNotNull() & F.col("runner").isNotNull() & F.col("body").isNotNull())
     # the schema of a value is read once, and then looked at
     read = lambda n: F.struct(n["path"].alias("path"), n["parent"].alias("parent"), F.schema_of_variant(n["v"]).alias("schema"), F.to_json(n["v"]).alias("value"))
     node = lambda n: F.struct(n["path"].alias("path"), n["parent"].alias("parent"), _type_of(n["schema"]).alias("jtype"), n["value"].alias("value"))
-    parsed = files.select("file_id", "runner", "written_at", F.try_parse_json(_body()).alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    rest = [c for c in files.columns if c != "body"]
+    parsed = files.select(*rest, F.try_parse_json(_body()).alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
     nodes = F.transform(F.transform(_nodes(F.try_variant_get("v", f"$.{inside}", "variant"), None, depth), read), node)
-    cols = parsed.select("file_id", "runner", "written_at", F.coalesce(nodes, F.array().cast("array<struct<path:string,parent:string,jtype:string,value:string>>")).alias("cols"))
+    cols = parsed.select(*rest, F.coalesce(nodes, F.array().cast("array<struct<path:string,parent:string,jtype:string,value:string>>")).alias("cols"))
     # members of several objects in one array share a path
     paths = F.transform("cols", lambda c: c["path"])
     first = F.filter("cols", lambda c, i: F.array_position(paths, c["path"]) == i + 1)
@@ -279,9 +280,11 @@ def field_columns(files: DataFrame, fields: tuple[str, ...], p: DriftParams = Dr
     (runner, time): however many files one runner has, none is sorted in one task."""
     n_blocks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     files = once(files.select("file_id", "runner", "written_at", "body"), "file_id")
+    # ranges are sampled from the bodies as they are, so that these are parsed once
+    files = files.repartitionByRange(n_blocks, "runner", "written_at", "file_id").withColumn("block", F.spark_partition_id())
     depth = 4
     while True:
-        cols = config_columns(files, depth=depth).repartitionByRange(n_blocks, "runner", "written_at", "file_id").withColumn("block", F.spark_partition_id())
+        cols = config_columns(files, depth=depth)
         layout = cut(cols.withColumn("layout", F.array_sort(F.transform("cols", lambda c: c["path"]))))
         if not any_deeper(layout, depth):
             break
@@ -362,7 +365,22 @@ def unified_config(files: DataFrame, p: DriftParams = DriftParams()) -> DataFram
     style gives its name or first element; 1, "yes" and "true" are true, 0, "no" and "false" false.
     Anything else, and an absent field, is null.
     """
-    f = field_columns(files, ("domains", "prompt_style", "randomize_order"), p)
+    return _unified(files, p).select("file_id", "runner", *UNIFIED)
+
+
+UNIFIED = ("domains", "prompt_style", "randomize_order")
+
+
+def uncoerced(files: DataFrame, p: DriftParams = DriftParams()) -> DataFrame:
+    """field, form (JSON type), n_files, n_lost: how many files hold a field in a form, and of how many the value
+    could not be brought into the consistent table."""
+    u = _unified(files, p)
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.element_at("f", i + 1)["jtype"].alias("form"), F.col(c).isNull().alias("lost")) for i, c in enumerate(UNIFIED)])
+    return u.select(F.inline(each)).where(F.col("form").isNotNull()).groupBy("field", "form").agg(F.count("*").alias("n_files"), F.count_if("lost").alias("n_lost"))
+
+
+def _unified(files: DataFrame, p: DriftParams) -> DataFrame:
+    f = field_columns(files, UNIFIED, p)
     v = lambda i: F.try_parse_json(F.element_at("f", i)["value"])
     kind = lambda i: F.element_at("f", i)["jtype"]
     text = lambda i: F.try_variant_get(v(i), "$", "string")
@@ -371,6 +389,7 @@ def unified_config(files: DataFrame, p: DriftParams = DriftParams()) -> DataFram
     return f.select(
         "file_id",
         "runner",
+        "f",
         F.when(kind(1) == "array", F.try_variant_get(v(1), "$", "array<string>")).when(kind(1) == "string", F.array(text(1))).when(kind(1) == "object", F.array_sort(flags)).alias("domains"),
         F.when(kind(2) == "string", text(2)).when(kind(2) == "array", F.try_variant_get(v(2), "$[0]", "string")).when(kind(2) == "object", F.try_variant_get(v(2), "$.name", "string")).alias("prompt_style"),
         F.when(word.isin("true", "yes", "1"), True).when(word.isin("false", "no", "0"), False).alias("randomize_order"),

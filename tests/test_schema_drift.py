@@ -3,7 +3,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
-from pairsieve.operators.schema_drift import _best_matching, best_pairs, schema_changes, unified_config
+from pairsieve.operators.schema_drift import _best_matching, best_pairs, schema_changes, uncoerced, unified_config
 
 FIELDS = ("domains", "prompt_style", "randomize_order")
 SCHEMA = "file_id bigint, runner string, written_at timestamp, body string, path string"
@@ -67,6 +67,12 @@ def test_unified(spark):
     assert (got[2].domains, got[2].prompt_style, got[2].randomize_order) == (["code"], "strong", True)
 
 
+def test_values_that_fit_no_form_are_counted(spark):
+    rows = files([{"config": {"domains": 7, "randomize_order": "perhaps"}}, {"config": {"domains": ["code"], "randomize_order": False}}])
+    got = {(r.field, r.form): (r.n_files, r.n_lost) for r in uncoerced(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("domains", "number"): (1, 1), ("domains", "array"): (1, 0), ("randomize_order", "string"): (1, 1), ("randomize_order", "boolean"): (1, 0)}
+
+
 def test_matching_is_one_to_one_and_greatest():
     scores = {0: {"a": 0.9, "b": 0.8}, 1: {"a": 0.85, "b": 0.1}}
     assert _best_matching(scores, 2) == {0: "b", 1: "a"}
