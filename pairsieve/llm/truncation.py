@@ -168,11 +168,11 @@ def word_odds(rows: DataFrame, ends: DataFrame) -> DataFrame:
     open_end = F.when(tail.rlike("[\\[(<]cut off[\\])>]$"), 3).when(tail.rlike("[\\[(<](?:truncated|cut|continued|more)[\\])>]$"), 2).when(tail.rlike("(?:\\.\\.+|…|[^.!?。！？\"'”’»)\\]*_])$"), 1).otherwise(0)
     words = F.regexp_extract_all(text, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
     words = F.array_distinct(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - open_end)))
-    each = rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", F.explode(words).alias("last"))
+    each = spread(rows.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")).select("id", F.explode(words).alias("last"))
     if ends.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:  # a checked size: other words needn't be counted
         each = each.join(F.broadcast(ends.select("last").distinct()), "last", "left_semi")
     # combined before the shuffle, so that no word is hot; a redelivered id counts once
-    d = ends.join(each.groupBy("last").agg(F.approx_count_distinct("id", 0.02).alias("other")), "last", "left").withColumn("other", F.coalesce("other", F.lit(0)))
+    d = ends.join(each.groupBy("last").agg(F.approx_count_distinct("id").alias("other")), "last", "left").withColumn("other", F.coalesce("other", F.lit(0)))
     d = cut(d)  # one row a kind and word; read twice
     share = d.groupBy("kind").agg(F.coalesce(F.try_divide(F.sum("n"), F.sum("other")), F.lit(1.0)).alias("share"))  # one row a kind
     least = F.lit(1 / math.expm1(UNKNOWN_WORD))  # an end of a word that nothing else holds has UNKNOWN_WORD
